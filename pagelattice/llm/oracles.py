@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pagelattice.llm import quality_rules as qr
+from pagelattice.llm import url_filter as uf
+from pagelattice.llm.common import UPPER
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -46,5 +48,31 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   (not base_failed and {tests}) as kept from r"""
 
 
+def _urls() -> str:
+    cases = "".join(
+        f" when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then {{}}".format(f"'{h}{p}'")
+        for h, p, _ in sorted(uf.DEFAULT_RULES, key=lambda r: -len(r[0] + r[1]))
+    )
+    verdicts = "".join(f" when '{h}{p}' then '{v}'" for h, p, v in uf.DEFAULT_RULES)
+    listed = " or ".join(
+        f"host = '{x}' or host like '%.{x}'" for x in (u.split("://")[1].rstrip("/") for u in uf.DEFAULT_LIST)
+    )
+    return rf"""
+with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+c as (select *, case{cases} end as rule from b)
+select page_id, host, path, rule, case rule{verdicts} else case when {listed} then 'block' else 'allow' end end as verdict from c"""
+
+
+def _warc() -> str:
+    return """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, '')) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f"""
+
+
 def sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality()}
+    return {"op4_quality_rules": _quality(), "op9_url_filter": _urls(), "op10_warc": _warc()}

@@ -16,3 +16,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelattice.llm import url_filter as uf
+
+    rules = [uf.HostRule(*r) for r in uf.DEFAULT_RULES]
+    return uf.url_filter(table(spark, sf_dir, "pages"), rules, uf.default_list(spark)).drop("url")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelattice.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
