@@ -48,6 +48,21 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   (not base_failed and {tests}) as kept from r"""
 
 
+def _substrings() -> str:
+    return rf"""
+with d as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from (
+    select doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) as i from d)),
+least as (select s, min(doc_id) as m from win group by 1),
+gone as (select distinct doc_id, p from (
+    select doc_id, unnest(range(i, i + 13)) as p from win join least using (s) where m < doc_id)),
+kept as (select d.doc_id, p, w[p] as x from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d) d
+    left join gone using (doc_id, p) where gone.doc_id is null),
+k as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from kept group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(k.n, 0))::bigint as n_removed,
+  sha256(coalesce(k.t, '')) as kept_sha256 from d left join k using (doc_id)"""
+
+
 def _urls() -> str:
     cases = "".join(
         f" when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then {{}}".format(f"'{h}{p}'")
@@ -75,4 +90,4 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
 
 
 def sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op9_url_filter": _urls(), "op10_warc": _warc()}
+    return {"op4_quality_rules": _quality(), "op6_substring_dedup": _substrings(), "op9_url_filter": _urls(), "op10_warc": _warc()}
