@@ -232,7 +232,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: Pieces
             at = pc.fill_null(pc.index_in(coded.dictionary, value_set=known_words), -1).to_numpy(zero_copy_only=False)
             place = at[code] if len(code) else np.empty(0, np.int64)
             common = place >= 0
-            add = lambda w: np.bincount(owner[common], w, len(counts))
+            add = lambda w: np.bincount(owner[common], w, len(counts)).astype(float)
             base, scored = add(known_base[place[common]]), add(known_score[place[common]])
             pairs, times = np.unique(owner[~common] * max(1, len(coded.dictionary)) + code[~common], return_counts=True)
             doc, word = np.divmod(pairs, max(1, len(coded.dictionary)))
