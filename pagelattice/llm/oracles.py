@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelattice.llm import decontaminate as dc
 from pagelattice.llm import quality_rules as qr
 from pagelattice.llm import url_filter as uf
 from pagelattice.llm.common import UPPER
@@ -80,6 +81,27 @@ c as (select *, case{cases} end as rule from b)
 select page_id, host, path, rule, case rule{verdicts} else case when {listed} then 'block' else 'allow' end end as verdict from c"""
 
 
+def _contamination() -> str:
+    shingles = rf"""{{0}}w as (select {{1}} as id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')")} as w from {{2}}),
+{{0}}s as (select distinct id, array_to_string(w[i:i + {dc.SHINGLE - 1}], ' ') as s from (
+  select id, w, unnest(range(1, greatest(len(w) - {dc.SHINGLE - 2}, 2))) as i from {{0}}w where len(w) > 0))"""
+    return f"""with {shingles.format("d", "doc_id", "documents")}, {shingles.format("b", "item_id", "benchmark")},
+n as (select id, count(*) as n from bs group by 1),
+p as (select ds.id as doc_id, bs.id as item_id, count(*) as n_shared from ds join bs using (s) group by 1, 2)
+select doc_id, item_id, n_shared::bigint as n_shared, n::bigint as n_item, n_shared::double / n as containment
+from p join n on n.id = p.item_id where n_shared >= n * {dc.THRESHOLD} - 1e-9"""
+
+
+def _chat() -> str:
+    return """
+with m as (select distinct conv_id, turn, role, text from conversations),
+r as (select *, turn // 64 as part, case when turn > 0 then (turn - 1)::varchar else '-' end as reply,
+  '<|' || role || '|>' || chr(10) || trim(text) || chr(10) || '<|end|>' as shown from m)
+select conv_id, part::bigint as part, count(*) as n_messages, 0::bigint as n_quoted, 0::bigint as n_linked,
+  string_agg(reply, ',' order by turn, role, text) as replies, string_agg(shown, chr(10) order by turn, role, text) as chat
+from r group by 1, 2"""
+
+
 def _warc() -> str:
     return """
 with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, '')) as payload_bytes from pages),
@@ -90,4 +112,11 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
 
 
 def sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op6_substring_dedup": _substrings(), "op9_url_filter": _urls(), "op10_warc": _warc()}
+    return {
+        "op3_decontaminate": _contamination(),
+        "op4_quality_rules": _quality(),
+        "op6_substring_dedup": _substrings(),
+        "op7_chat_format": _chat(),
+        "op9_url_filter": _urls(),
+        "op10_warc": _warc(),
+    }

@@ -22,6 +22,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelattice.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelattice.llm.quality_rules import quality_rules
 
@@ -38,6 +44,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelattice.llm.chat_format import chat_format
+
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelattice.llm.lm_scoring import lm_scores
 
