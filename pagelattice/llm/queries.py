@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelattice.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelattice.llm.substring_dedup import substring_dedup
 
