@@ -12,8 +12,13 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket: its number, and each column's values as an array."""
-    order = np.argsort(bucket, kind="stable")
+    """One row for each bucket: its number, and each column's values as an array.
+
+    Values of a bucket go by did and place, if there are such columns, so that
+    what repeats lies together and compresses.
+    """
+    by = [columns[k] for k in ("place", "did") if k in columns]
+    order = np.lexsort((*by, bucket))
     bucket = bucket[order]
     ids, start = np.unique(bucket, return_index=True)
     offsets = pa.array(np.append(start, len(bucket)).astype(np.int32))

@@ -40,7 +40,7 @@ COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ROWS = 1_500_000
 #: Hits of less than this size are broadcast to the documents; more are joined by shuffle.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 8 << 20
 SEEDS = (11, 12)
 
 
@@ -62,6 +62,20 @@ def _by_document(ids: list[np.ndarray], place: np.ndarray) -> list[pa.Array]:
     return [pa.array(x[start]) for x in ids] + [pa.ListArray.from_arrays(offsets, pa.array(place[order].astype(np.int32)))]
 
 
+def _gather(ids: list[str], n_buckets: int):
+    """(onward, collect): deals found places by document, and puts each document's together."""
+
+    def onward(did: np.ndarray, **columns: np.ndarray) -> pa.Table:
+        bucket = buckets_of(mix(did.view(np.uint64)), n_buckets).astype(np.int32)
+        return pa.Table.from_batches([pack(bucket, {"did": did, **columns})])
+
+    def collect(t: pa.Table) -> pa.Table:
+        *keys, place = unpack(t, [*ids, "place"])
+        return pa.table(_by_document(keys, place), [*ids, "places"])
+
+    return onward, collect
+
+
 def anchor_hits(rows: DataFrame, n_buckets: int) -> DataFrame:
     """(did, places) of anchors that occur under two ids or more."""
 
@@ -99,11 +113,12 @@ def anchor_hits(rows: DataFrame, n_buckets: int) -> DataFrame:
         if len(d):
             shared[group[d > least[group]]] = True
         new = shared[group] & (s == 0) if len(d) else np.zeros(0, bool)
-        cols = _by_document([np.concatenate([did[done], d[new]])], np.concatenate([place[done], p[new]]))
-        return pa.table(cols, ["did", "places"])
+        return onward(np.concatenate([did[done], d[new]]), place=np.concatenate([place[done], p[new]]))
 
+    onward, collect = _gather(["did"], n_buckets)
     dealt = rows.select("did", "text").mapInArrow(deal, "bucket int, h array<bigint>, did array<bigint>, place array<int>, state array<tinyint>")
-    return dealt.groupBy("bucket").applyInArrow(meet, "did bigint, places array<int>")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "bucket int, did array<bigint>, place array<int>")
+    return met.groupBy("bucket").applyInArrow(collect, "did bigint, places array<int>")
 
 
 def repeated_windows(hit_rows: DataFrame, n_buckets: int) -> DataFrame:
@@ -142,13 +157,14 @@ def repeated_windows(hit_rows: DataFrame, n_buckets: int) -> DataFrame:
         order, group, least = _decided([h1[~done], h2[~done]], did[~done])
         d, x, p = did[~done][order], th[~done][order], place[~done][order]
         new = d > least[group] if len(d) else np.zeros(0, bool)
-        cols = _by_document([np.concatenate([did[done], d[new]]), np.concatenate([th[done], x[new]])], np.concatenate([place[done], p[new]]))
-        return pa.table(cols, ["did", "th", "places"])
+        return onward(np.concatenate([did[done], d[new]]), th=np.concatenate([th[done], x[new]]), place=np.concatenate([place[done], p[new]]))
 
+    onward, collect = _gather(["did", "th"], n_buckets)
     dealt = hit_rows.select("did", "th", "text", "places").mapInArrow(
         deal, "bucket int, h1 array<bigint>, h2 array<bigint>, did array<bigint>, th array<bigint>, place array<int>, state array<tinyint>"
     )
-    return dealt.groupBy("bucket").applyInArrow(meet, "did bigint, th bigint, places array<int>")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "bucket int, did array<bigint>, th array<bigint>, place array<int>")
+    return met.groupBy("bucket").applyInArrow(collect, "did bigint, th bigint, places array<int>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +212,8 @@ def repeats(docs: DataFrame, space: Workspace, text: str = "text") -> tuple[Data
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(source).alias("th"), source.alias("text"))
     size = docs.select(F.sum(F.length(F.col(text))).alias("n")).first()["n"] or 0
     n = max(partitions(docs.sparkSession), -(-size // 14 // BUCKET_ROWS))
-    hits = space.keep(anchor_hits(rows, n), "hit-parts")
-    hits = space.keep(hits.groupBy("did").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "hits")
-    found = space.keep(repeated_windows(_joined(rows, hits, ["did"], "inner"), n), "window-parts")
-    found = found.groupBy("did", "th").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    hits = space.keep(anchor_hits(rows, n), "hits")
+    found = repeated_windows(_joined(rows, hits, ["did"], "inner"), n)
     return rows, space.keep(found, "windows")
 
 
