@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,14 @@ def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each 64-bit hash, from its upper bits."""
     return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def text_parts(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of text; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // at_once
+    at = 0
+    for n in np.unique(part):
+        rows = int((part == n).sum())
+        yield batch.slice(at, rows)
+        at += rows

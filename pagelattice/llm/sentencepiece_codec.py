@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.llm.common import text_parts
 from pagelattice.llm.pieces import SPACE, Pieces, load
 
 BREAK = "\x00"
@@ -336,19 +337,8 @@ def _vocabulary(shared) -> Vocabulary:
     return _HELD[name]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of a bounded number of bytes."""
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size) // CHARS_AT_ONCE
-    at = 0
-    for n in np.unique(part):
-        rows = int((part == n).sum())
-        yield batch.slice(at, rows)
-        at += rows
-
-
 def encode_documents(docs: DataFrame, model: str | None = None, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids; with digests, ids_sha256, decoded_sha256 and round_trip in place of the ids.
+    """doc_id, n_tokens, ids and round_trip; with digests, ids_sha256 and decoded_sha256 in place of the ids.
 
     ids_sha256 is that of the ids as little-endian 32-bit integers; round_trip
     says whether the decoded text is the text.
@@ -360,23 +350,23 @@ def encode_documents(docs: DataFrame, model: str | None = None, digests: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
         for whole in batches:
-            for b in _parts(whole):
+            for b in text_parts(whole, 1, CHARS_AT_ONCE):
                 ids, counts = encode(v, b.column(1))
                 ends = np.append(0, np.cumsum(counts))
+                texts = decode(v, ids, counts)
+                raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+                same = [x == y for x, y in zip(texts, raw, strict=True)]
                 if not digests:
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.record_batch([b.column(0), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
+                    yield pa.record_batch([b.column(0), pa.array(counts), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
                     continue
-                texts = decode(v, ids, counts)
-                raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
                 sha = lambda x: hashlib.sha256(x).hexdigest()
                 words = [sha(ids[i:j].astype("<i4").tobytes()) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-                same = [x == y for x, y in zip(texts, raw, strict=True)]
                 yield pa.record_batch(
                     [b.column(0), pa.array(counts), pa.array(words), pa.array(list(map(sha, texts))), pa.array(same)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tail = "ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>"
+    tail = "ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>, round_trip boolean"
     return rows.mapInArrow(run, f"doc_id bigint, n_tokens bigint, {tail}")

@@ -199,14 +199,24 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, text: str = "text") -
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Ids up to which the kept ones are broadcast to the documents.
+BROADCAST_IDS = 1_000_000
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is their component's smallest, with their own columns.
 
-    Of repeated rows of that id one stays.
+    Of repeated rows of that id one stays; only those rows are shuffled.
     """
     space = Workspace(docs.sparkSession, "simhash-kept")
     judged = near_duplicates(docs.select("doc_id", "text"))
-    keep = space.keep(judged.filter("doc_id <=> component_id").select("doc_id").distinct(), "keep")
-    own = docs.columns
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*own)
+    keep = judged.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = space.keep(keep.select(F.col("doc_id").alias("_keep"), "n"), "keep")
+    sizes = keep.agg(F.count("*").alias("ids"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("again")).first()
+    side = lambda df: F.broadcast(df) if sizes["ids"] <= BROADCAST_IDS else df
+    same = F.col("doc_id").eqNullSafe(F.col("_keep"))
+    once = docs.join(side(keep.filter("n = 1").select("_keep")), same, "left_semi")
+    if not sizes["again"]:
+        return once
+    again = docs.join(side(keep.filter("n > 1").select("_keep")), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again)

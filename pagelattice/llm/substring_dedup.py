@@ -24,6 +24,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ BUCKET_ROWS = 1_500_000
 #: Hits of less than this size are broadcast to the documents; more are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 SEEDS = (11, 12)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _decided(keys: list[np.ndarray], did: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,3 +226,49 @@ def substring_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = _joined(rows, windows, ["did", "th"], "left").select("did", "th", "text", "places")
     out = cut.mapInArrow(_cut, "did bigint, th bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text")
+
+
+def _kept_runs(text: bytes, gone: np.ndarray) -> bytes:
+    """A text without the marked words; what stays keeps its own white space."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[1], gone.astype(np.int8), [1]])))
+    out, before = b"", 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        gap = text[before : spans[a][0]]
+        out += (b"\n" if b"\n" in gap else b" " if out else b"") if a else gap
+        out += text[spans[a][0] : spans[b - 1][1]]
+        before = spans[b - 1][1]
+    return out.strip()
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents' own columns, texts without repeated words; those left empty go."""
+    space = Workspace(docs.sparkSession, "substrings")
+    _, windows = repeats(docs, space)
+    own = docs.columns
+    keyed = docs.withColumns(
+        {
+            "_did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)),
+            "_th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+        }
+    )
+    side = windows.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "places")
+    joined = _joined(keyed, side, ["_did", "_th"], "left").select(*own, F.col("places").alias("_places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {n: i for i, n in enumerate(own)}
+            texts, keep = b.column(at["text"]).cast(pa.binary()).to_pylist(), []
+            for i, places in enumerate(b.column(len(own)).to_pylist()):
+                if places:
+                    gone = np.zeros(len(texts[i].split()) + 1, np.int64)
+                    np.add.at(gone, np.array(places), 1)
+                    np.add.at(gone, np.array(places) + WINDOW, -1)
+                    texts[i] = _kept_runs(texts[i], np.cumsum(gone)[:-1] > 0)
+                keep.append(not places or bool(texts[i]))
+            cols = [b.column(i) for i in range(len(own))]
+            cols[at["text"]] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.record_batch(cols, own).filter(pa.array(keep))
+
+    out = joined.mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
