@@ -1,0 +1,67 @@
+"""Extraction: one value for each field of a page, in schema order.
+
+Scores do not depend on what is taken, so they are computed as rows first. The
+only sequential part, that a token serves one field, folds over the ordered
+candidates of one page in one row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagelattice.operators import graph, matching, tables
+
+
+def page_graph(tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, table cells and roles of the pages."""
+    e = graph.edges(graph.lines(tokens))
+    cells = tables.tables(tokens, e)
+    found = tables.table_roles(cells)
+    roles = tokens.select("doc_id", "token_id").join(found, ["doc_id", "token_id"], "left")
+    return e, cells, roles
+
+
+def taken_once(candidates: DataFrame) -> DataFrame:
+    """doc_id, field, token_id: fields in order each take their best token that is free.
+
+    candidates: doc_id, ord, field, token_id, score, token_ord.
+    """
+    c = F.struct("ord", (-F.col("score")).alias("s"), "token_ord", "field", "token_id")
+    pages = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(c)).alias("c"))
+    fold = F.expr(
+        """aggregate(c, cast(array() as array<struct<ord: int, field: string, token_id: int>>),
+           (a, x) -> if(exists(a, y -> y.ord = x.ord or y.token_id = x.token_id), a,
+                        concat(a, array(struct(cast(x.ord as int) as ord, x.field as field, cast(x.token_id as int) as token_id)))))"""
+    )
+    return pages.select("doc_id", F.inline(fold)).select("doc_id", "field", "token_id")
+
+
+def extract(tokens: DataFrame, fields: DataFrame, edges: DataFrame | None = None, roles: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, value, strategy: exact matches by label, with the label's value; null where none."""
+    if edges is None or roles is None:
+        edges, _, roles = page_graph(tokens)
+    order = fields.select(F.col("name").alias("field"), "ord")
+    matches = matching.regex_perfect(tokens, fields).join(tokens.select("doc_id", "token_id", F.col("ord").alias("token_ord")), ["doc_id", "token_id"])
+    chosen = taken_once(matches.join(matching.small(order), "field"))
+    values = graph.token_values(tokens, edges, roles)
+    got = chosen.join(values, ["doc_id", "token_id"]).select("doc_id", "field", "token_id", "value")
+    every = tokens.select("doc_id").distinct().crossJoin(matching.small(order))
+    out = every.join(got, ["doc_id", "field"], "left")
+    strategy = F.when(F.col("value").isNotNull(), "regex_perfect").otherwise("none")
+    return out.select("doc_id", "ord", "field", "value", "token_id", strategy.alias("strategy"))
+
+
+def results(extracted: DataFrame) -> DataFrame:
+    """One row for each page: its fields as a map, and what was found."""
+    entry = F.struct("ord", "field", "value")
+    out = extracted.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("f"),
+        F.count("*").alias("total_fields"),
+        F.count("value").alias("extracted_fields"),
+        F.array_sort(F.array_remove(F.collect_set("strategy"), "none")).alias("rules_used"),
+        F.array_sort(F.collect_set("token_id")).alias("nodes_used"),
+    )
+    fields = F.map_from_entries(F.transform("f", lambda x: F.struct(x["field"], x["value"])))
+    rate = F.when(F.col("total_fields") > 0, F.col("extracted_fields") / F.col("total_fields")).otherwise(0.0)
+    return out.select("doc_id", fields.alias("fields"), "total_fields", "extracted_fields", rate.alias("success_rate"), "nodes_used", "rules_used")

@@ -1,0 +1,58 @@
+"""Splitting of spans into tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SHORTEST = 4
+
+
+def colon_split(tokens: DataFrame) -> DataFrame:
+    """Tokens with one interior colon become a label and a value, others stay, as parts 0 and 1.
+
+    The box is cut in proportion to the characters up to the colon.
+    """
+    text = F.trim("text")
+    at = F.instr(text, ":")
+    before, after = F.substring(text, F.lit(1), at), F.trim(F.substring(text, at + 1, F.length(text)))
+    splits = (F.length(text) >= SHORTEST) & at.between(2, F.length(text) - 1) & (after != "") & (F.regexp_count(text, F.lit(":")) == 1)
+    cut = F.col("x0") + (F.col("x1") - F.col("x0")) * at / F.length(text)
+    part = lambda n, t, role, a, b, pair: F.struct(
+        F.lit(n).alias("part"), t.alias("text"), F.lit(role).cast("string").alias("role"), a.alias("x0"), b.alias("x1"), F.lit(pair).alias("separated_pair")
+    )
+    pieces = F.when(splits, F.array(part(0, before, "LABEL", F.col("x0"), cut, True), part(1, after, "VALUE", cut, F.col("x1"), True))).otherwise(
+        F.array(part(0, F.col("text"), None, F.col("x0"), F.col("x1"), False))
+    )
+    rest = [c for c in tokens.columns if c not in ("text", "role", "x0", "x1", "separated_pair")]
+    return tokens.select(*rest, F.inline(pieces))
+
+
+def multi_colon_split(tokens: DataFrame) -> DataFrame:
+    """doc_id, part, text, role: labels up to each interior colon, values up to the last space before the next label.
+
+    A space after which a full stop comes does not end a value. The parts are a
+    fold over the pieces between colons, in the row itself.
+    """
+    t = F.trim("text")
+    pieces = F.split(t, ":")
+    df = tokens.select("doc_id", t.alias("t"), pieces.alias("p")).withColumn("n", F.size("p") - 1)
+    # A piece between two colons holds a value and the next label, cut at its last space that no full stop follows.
+    cuts = F.expr(
+        r"""transform(p, (x, i) -> case
+              when i = 0 then named_struct('value', '', 'label', trim(x))
+              when i = n then named_struct('value', trim(x), 'label', '')
+              else named_struct('value', trim(regexp_extract(trim(x), '^(.*) (?!\\.)(.*)$', 1)),
+                                'label', if(trim(x) rlike ' (?!\\.)', trim(regexp_extract(trim(x), '^(.*) (?!\\.)(.*)$', 2)), trim(x))) end)"""
+    )
+    parts = F.flatten(
+        F.transform(
+            cuts,
+            lambda c: F.array(
+                F.struct(c["value"].alias("text"), F.lit("VALUE").alias("role")),
+                F.struct(F.when(c["label"] == "", F.lit("")).otherwise(F.concat(c["label"], F.lit(":"))).alias("text"), F.lit("LABEL").alias("role")),
+            ),
+        )
+    )
+    kept = F.filter(parts, lambda x: x["text"] != "")
+    return df.select("doc_id", F.posexplode(kept).alias("part", "x")).select("doc_id", "part", "x.text", "x.role")

@@ -1,13 +1,343 @@
-"""Named queries of the layout engine."""
+"""Named queries of the layout engine, each over whole tables."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagelattice.functions import hints as H
+from pagelattice.functions import text as X
+from pagelattice.operators import assign, graph, learning, matching, sessions, style, tables
+from pagelattice.plans import oracles
+from pagelattice.sources import adapters as A
+from pagelattice.streaming import learner
 
-def queries():
-    return {}
+QUERIES = {}
 
 
-def oracle_sql():
-    return {}
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def kv(s: SparkSession, d: str) -> DataFrame:
+    return A.kv_form(s, d)
+
+
+def grid(s: SparkSession, d: str) -> DataFrame:
+    return A.order_grid(s, d)
+
+
+def kv_fields(s: SparkSession) -> DataFrame:
+    return A.fields_frame(s, "customer_form", A.KV_FIELDS)
+
+
+@query
+def c_token_predicates(s, d):
+    t = kv(s, d).select("doc_id", "token_id", "text").unionByName(A.text_lines(s, d))
+    c = F.col("text")
+    return t.select(
+        "doc_id",
+        "token_id",
+        X.ends_with_colon(c).alias("ends_colon"),
+        X.colon_in_middle(c).alias("colon_inside"),
+        X.is_date(c).alias("is_date"),
+        X.is_code(c).alias("is_code"),
+        X.is_number(c).alias("is_number"),
+        X.is_text_only(c).alias("is_text"),
+        X.ends_with_separator(c).alias("ends_separator"),
+    )
+
+
+@query
+def c_ascii_norm(s, d):
+    return A.text_lines(s, d).select("doc_id", "token_id", F.md5(X.ascii_norm(F.col("text"))).alias("norm"))
+
+
+@query
+def c_accent_norm(s, d):
+    return A.text_lines(s, d).select("doc_id", "token_id", F.md5(X.accent_norm(F.col("text"))).alias("norm"))
+
+
+@query
+def c_keyword_sets(s, d):
+    return A.text_lines(s, d).select("doc_id", "token_id", F.array_join(F.array_sort(X.keywords(F.col("text"))), " ").alias("keywords"))
+
+
+@query
+def c_label_score(s, d):
+    a = A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.col("p_type").alias("b"))
+    return a.select("id", F.round(X.label_score(F.col("a"), F.col("b"), 0.0), 6).alias("score"))
+
+
+@query
+def c_multi_value(s, d):
+    li = A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" - ", A.money(F.col("l_extendedprice")), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.col("l_discount").cast("decimal(12,2)").cast("string")).alias("t"))
+    return li.select("l_orderkey", "l_linenumber", X.multi_value(F.col("t")).alias("multi"), F.size(X.individual_values(F.col("t"))).alias("n_values"))
+
+
+@query
+def b_colon_split(s, d):
+    from pagelattice.operators.tokenize import colon_split
+
+    t = A.table(s, d, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("doc_id"), F.lit(0).alias("token_id"), F.concat_ws(" ", F.lit("Holder:"), F.col("c_name")).alias("text"),
+        F.lit(0.1).alias("x0"), F.lit(0.1).alias("y0"), F.lit(0.5).alias("x1"), F.lit(0.12).alias("y1"),
+    )
+    return colon_split(t).select("doc_id", "part", "text", "role", "separated_pair", F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"))
+
+
+@query
+def b_multi_colon(s, d):
+    from pagelattice.operators.tokenize import multi_colon_split
+
+    c = A.table(s, d, "customer").select(F.col("c_custkey").cast("bigint").alias("doc_id"), F.concat(F.lit("Holder: "), F.col("c_name"), F.lit(" Segment: "), F.col("c_mktsegment")).alias("text"))
+    return multi_colon_split(c)
+
+
+@query
+def d_lines(s, d):
+    return graph.lines(grid(s, d)).select("doc_id", "token_id", "line")
+
+
+@query
+def d_east_edges(s, d):
+    return graph.east_edges(graph.lines(kv(s, d))).unionByName(graph.east_edges(graph.lines(grid(s, d))).withColumn("doc_id", -F.col("doc_id")))
+
+
+@query
+def d_spacing(s, d):
+    return graph.spacing_limit(graph.lines(grid(s, d))).select("doc_id", F.round("spacing", 9).alias("spacing"))
+
+
+@query
+def d_south_edges(s, d):
+    return graph.south_edges(graph.lines(grid(s, d)))
+
+
+@query
+def e_degree(s, d):
+    t = kv(s, d)
+    return graph.degree(t, graph.edges(graph.lines(t)))
+
+
+@query
+def e_neighbours(s, d):
+    return graph.neighbours(graph.edges(graph.lines(kv(s, d)))).groupBy("relation").agg(F.count("*").alias("n"), F.sum(F.col("to_id") - F.col("from_id")).alias("steps"))
+
+
+@query
+def e_label_value(s, d):
+    t = kv(s, d)
+    e, _, roles = assign.page_graph(t)
+    return graph.token_values(t, e, roles)
+
+
+@query
+def e_paths(s, d):
+    return graph.paths(graph.edges(graph.lines(kv(s, d)))).select("doc_id", "token_id", F.array_join("path", ">").alias("path"))
+
+
+@query
+def f_corners(s, d):
+    return graph.oriented_corners(graph.edges(graph.lines(grid(s, d))))
+
+
+@query
+def f_tables(s, d):
+    t = kv(s, d)
+    return tables.tables(t, graph.edges(graph.lines(t)))
+
+
+@query
+def f_roles(s, d):
+    return assign.page_graph(kv(s, d))[2]
+
+
+@query
+def g_initial_label(s, d):
+    t = kv(s, d).select("doc_id", "token_id", "text")
+    label = X.ends_with_separator(F.col("text")) | X.colon_in_middle(F.col("text"))
+    return t.select("doc_id", "token_id", F.when(label, F.lit("LABEL")).alias("role"))
+
+
+@query
+def g_label_no_edges(s, d):
+    t = grid(s, d)
+    lone = graph.degree(t, graph.edges(graph.lines(t)))
+    return lone.select("doc_id", "token_id", F.when(F.col("degree") == 0, "HEADER").otherwise("LABEL").alias("role"))
+
+
+def _hint_query(h: H.Hint):
+    def run(s, d):
+        t = A.text_lines(s, d).unionByName(kv(s, d).select("doc_id", "token_id", "text"))
+        return t.filter(h.detect(F.col("text"))).select("doc_id", "token_id", F.md5(F.coalesce(h.extract(F.col("text")), F.lit(""))).alias("extracted"))
+
+    return run
+
+
+for _h in H.HINTS:
+    QUERIES[f"h_{_h.name}"] = _hint_query(_h)
+
+
+@query
+def h_aggregate(s, d):
+    li = A.table(s, d, "lineitem").groupBy("l_orderkey")
+    price = F.concat(F.lit("R$ "), F.col("l_quantity").cast("decimal(12,2)").cast("string"))
+    return li.agg(F.round(F.sum(H.amount(price)), 2).alias("total"), F.count(price).alias("n"), F.array_join(F.array_sort(F.collect_list("l_returnflag")), ", ").alias("flags"))
+
+
+@query
+def i_word_overlap(s, d):
+    return matching.word_overlap(kv(s, d), kv_fields(s))
+
+
+@query
+def i_regex_perfect(s, d):
+    return matching.regex_perfect(kv(s, d), kv_fields(s))
+
+
+@query
+def i_regex_partial(s, d):
+    f = A.fields_frame(s, "x", (("nat", "nation"), ("bal", "balance sheet"), ("holder_ref", "customer")))
+    out = matching.regex_partial(kv(s, d), f)
+    return out.select("doc_id", "field", "token_id", F.round("score", 6).alias("score"))
+
+
+@query
+def i_pattern(s, d):
+    t = kv(s, d).withColumn("role", F.when(F.col("token_id") % 2 == 0, "LABEL").otherwise("VALUE"))
+    return matching.pattern_matches(t, "balance", "balance of the account")
+
+
+@query
+def i_embedding_topk(s, d):
+    v = A.table(s, d, "embeddings")
+    return matching.embedding_topk(v, v.filter("vec_id < 10"))
+
+
+@query
+def j_type_classifier(s, d):
+    v = A.table(s, d, "embeddings")
+    parts = v.select(F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), F.posexplode("embedding").alias("p", "x"))
+    means = parts.groupBy("kind", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    vectors = means.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("p", "m"))).alias("a")).select("kind", F.transform("a", lambda z: z["m"]).alias("raw"))
+    norm = F.sqrt(F.aggregate(F.transform("raw", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
+    protos = vectors.withColumn("norm", norm).select("kind", F.expr("transform(raw, x -> x / norm)").alias("prototype"))
+    return matching.type_classifier(v, protos).select("vec_id", "kind", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def k_heuristic(s, d):
+    t = kv(s, d)
+    e, _, roles = assign.page_graph(t)
+    all_ = t.join(roles, ["doc_id", "token_id"]).join(graph.degree(t, e), ["doc_id", "token_id"])
+    score = matching.heuristic_score(F.col("role"), F.col("degree"), F.col("x0"), F.col("y0"), F.length("text"), F.col("role") == "VALUE")
+    return all_.select("doc_id", "token_id", F.round(score, 6).alias("score"))
+
+
+@query
+def l_quality_gate(s, d):
+    t = kv(s, d)
+    e = graph.edges(graph.lines(t))
+    return t.join(graph.degree(t, e), ["doc_id", "token_id"]).select("doc_id", "token_id", matching.quality_gate(F.col("text"), F.col("degree")).alias("good"))
+
+
+@query
+def l_type_gate(s, d):
+    t = kv(s, d).unionByName(kv(s, d).limit(0))
+    kinds = ("date", "money", "phone", "email", "cpf_cnpj", "number")
+    return t.select("doc_id", "token_id", *[matching.type_gate(F.col("text"), F.lit(k)).alias(k) for k in kinds])
+
+
+@query
+def l_extract(s, d):
+    return assign.extract(kv(s, d), kv_fields(s)).select("doc_id", "field", "value", "strategy")
+
+
+@query
+def l_metadata(s, d):
+    return assign.results(assign.extract(kv(s, d), kv_fields(s))).select("doc_id", "total_fields", "extracted_fields", F.round("success_rate", 6).alias("success_rate"), F.array_join("nodes_used", ",").alias("nodes"), F.array_join("rules_used", ",").alias("rules"))
+
+
+@query
+def m_found_rate(s, d):
+    return learning.found_rate(A.occurrences(s, d)).withColumn("found_rate", F.round("found_rate", 6))
+
+
+@query
+def m_position(s, d):
+    p = learning.positions(A.occurrences(s, d))
+    return p.select("label_type", "field_name", "n_placed", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "std_x", "std_y")])
+
+
+@query
+def m_distributions(s, d):
+    return learning.distribution(A.occurrences(s, d), "role").select("label_type", "field_name", "item", "n", F.round("share", 6).alias("share"))
+
+
+@query
+def m_rigidity(s, d):
+    return learning.patterns(A.occurrences(s, d)).select("label_type", "field_name", F.round("rigidity", 6).alias("rigidity"))
+
+
+@query
+def m_veto(s, d):
+    log = A.occurrences(s, d)
+    known = learning.patterns(log)
+    return learning.veto(log, known).select("seq", "rejected")
+
+
+@query
+def m_stream(s, d):
+    return learner.stream_rates(s, f"{d}/events.parquet").withColumn("found_rate", F.round("found_rate", 6))
+
+
+@query
+def n_style(s, d):
+    t = kv(s, d).withColumn("color", F.when(F.col("token_id") % 2 == 0, "#000000").otherwise("#202020"))
+    return style.signature(t)
+
+
+@query
+def n_line_index(s, d):
+    return style.line_index(grid(s, d))
+
+
+@query
+def n_counts(s, d):
+    e, _, roles = assign.page_graph(kv(s, d))
+    return style.counts(roles, e)
+
+
+@query
+def p_search(s, d):
+    return sessions.search(A.table(s, d, "conversations"), "Thing")
+
+
+@query
+def p_by_label(s, d):
+    return sessions.by_label(A.table(s, d, "conversations"))
+
+
+@query
+def p_dedupe(s, d):
+    return sessions.first_of_each(A.table(s, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query
+def p_latest(s, d):
+    return sessions.latest(A.table(s, d, "conversations"), "assistant").select("conv_id", "turn", F.md5("text").alias("text_md5"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five fields of every customer form."""
+    return l_extract(spark, sf_dir)
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.sql()
