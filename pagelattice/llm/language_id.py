@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WORD_PATTERN, split_batch
+from pagelattice.llm.common import WORD_PATTERN, split_batch, text_parts
 from pagelattice.llm.exchange import mix
 
 UNKNOWN = "und"
@@ -230,21 +230,17 @@ def label(model: Model, emissions: np.ndarray, codes: np.ndarray, counts: np.nda
     return out
 
 
-WORDS_AT_ONCE = 400_000
+BYTES_AT_ONCE = 4_000_000
 
 
-def label_batch(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(words of each text, which words have letters, label probabilities), in parts of a batch."""
+def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, which words have letters, and the words' label probabilities."""
     flat, counts = split_batch(column)
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     emissions, lettered = model.emissions(coded.dictionary.to_pylist())
-    last = np.cumsum(counts)
-    part = (last - 1).clip(0) // WORDS_AT_ONCE
-    for at in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(part)) + 1):
-        if len(at):
-            own = codes[last[at[0]] - counts[at[0]] : last[at[-1]]]
-            yield counts[at], lettered[own], label(model, emissions, own, counts[at])
+    own = lettered[codes] if len(codes) else np.empty(0, bool)
+    return counts, own, label(model, emissions, codes, counts)
 
 
 def labelled_sample(docs: DataFrame, bounds: Sample, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -270,9 +266,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in text_parts(whole, 1, BYTES_AT_ONCE)):
             langs, scores, marks = [], [], []
-            for counts, lettered, prob in label_batch(m, b.column(1)) if m.languages else []:
+            for counts, lettered, prob in [label_batch(m, b.column(1))] if m.languages else []:
                 owner = np.repeat(np.arange(len(counts)), counts)
                 says = np.bincount(owner[lettered], minlength=len(counts))
                 mean = np.stack([np.bincount(owner[lettered], prob[lettered, k], len(counts)) for k in range(prob.shape[1])], 1).astype(float)
