@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL that binds a value once: inside lambdas, an optimizer-inlined column would be computed for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

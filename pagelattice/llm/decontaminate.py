@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import NO_ID, Workspace, ascii_lower, words
+from pagelattice.llm.common import NO_ID, Workspace, ascii_lower, let, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,7 +39,7 @@ def _worded(df: DataFrame, text: str) -> DataFrame:
 
 def shingle_texts(w: str) -> Column:
     """Distinct shingles of an array of words, as strings."""
-    runs = f"transform(sequence(1, size({w}) - {SHINGLE - 1}), i -> array_join(slice({w}, i, {SHINGLE}), ' '))"
+    runs = let(w, "a", f"transform(sequence(1, size(a) - {SHINGLE - 1}), i -> array_join(slice(a, i, {SHINGLE}), ' '))")
     return F.expr(
         f"""case when size({w}) >= {SHINGLE} then array_distinct({runs})
             when size({w}) > 0 then array(array_join({w}, ' ')) else cast(array() as array<string>) end"""
@@ -49,9 +49,9 @@ def shingle_texts(w: str) -> Column:
 def _hashed(df: DataFrame) -> DataFrame:
     """Adds _h: hashes of the shingles of _w, one for each place."""
     df = df.withColumn("_1", F.transform("_w", lambda x: F.xxhash64(x)))
-    df = df.withColumn("_2", F.expr("transform(_1, (h, i) -> xxhash64(h, get(_1, i + 1)))"))
-    df = df.withColumn("_4", F.expr("transform(_2, (h, i) -> xxhash64(h, get(_2, i + 2)))"))
-    df = df.withColumn("_5", F.expr("transform(_4, (h, i) -> xxhash64(h, get(_1, i + 4)))"))
+    df = df.withColumn("_2", F.expr(let("_1", "a", "transform(a, (h, i) -> xxhash64(h, get(a, i + 1)))")))
+    df = df.withColumn("_4", F.expr(let("_2", "a", "transform(a, (h, i) -> xxhash64(h, get(a, i + 2)))")))
+    df = df.withColumn("_5", F.expr(let("_1", "a", "transform(_4, (h, i) -> xxhash64(h, get(a, i + 4)))")))
     n = f"case when size(_w) = 0 then 0 else greatest(size(_w) - {SHINGLE - 1}, 1) end"
     return df.withColumn("_h", F.expr(f"slice(_5, 1, {n})")).drop("_1", "_2", "_4", "_5")
 
@@ -113,9 +113,9 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    found = contained_items(docs, items, threshold).select("did", "th").distinct()
+    found = contained_items(docs, items, threshold).select(F.col("did").alias("_dc_did"), F.col("th").alias("_dc_th")).distinct()
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     did = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, (did == F.col("did")) & (th == F.col("th")), "left_anti")
+    return docs.join(found, (did == F.col("_dc_did")) & (th == F.col("_dc_th")), "left_anti")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import words
+from pagelattice.llm.common import let, words
 
 # Frequent function words of English, German, French, Spanish.
 STOP_WORDS = (
@@ -61,13 +61,11 @@ def _repeat_words(w: str, windows: str) -> str:
     Keys of hash and place sort as plain longs; neighbours of one hash whose
     words are equal mark their places, and a fold over the sorted places adds
     up what they cover. Texts of more windows than places sort structs instead.
-    A single-element transform binds a value once.
     """
 
     def covered(s: str, place: str, same: str) -> str:
-        equal = lambda j: f"({same.format('k', j)} and slice({w}, {place.format('k')} + 1, {WINDOW}) = slice({w}, {place.format(j)} + 1, {WINDOW}))"
-        return f"""
-    transform(array({s}), s ->
+        equal = lambda j: f"({same.format('k', j)} and slice(w, {place.format('k')} + 1, {WINDOW}) = slice(w, {place.format(j)} + 1, {WINDOW}))"
+        body = f"""
       aggregate(
         sort_array(transform(
           filter(sequence(0, size(s) - 1), k -> (k > 0 and {equal("greatest(k - 1, 0)")})
@@ -75,7 +73,8 @@ def _repeat_words(w: str, windows: str) -> str:
           k -> {place.format("k")})),
         struct(0L as n, 0 as till),
         (a, p) -> struct(a.n + cast(p + {WINDOW} - greatest(p, a.till) as bigint) as n, p + {WINDOW} as till),
-        a -> a.n))[0]"""
+        a -> a.n)"""
+        return let(w, "w", let(s, "s", body))
 
     low = 2**PLACE_BITS - 1
     packed = covered(
@@ -95,7 +94,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split("_qr_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumns({"_qr_1": F.transform("_qr_w", lambda w: F.xxhash64(w)), "_qr_l": lines})
     for n in (1, 2, 4):  # hashes of twice as many words; those that the end cuts are left off below
-        df = df.withColumn(f"_qr_{2 * n}", F.expr(f"transform(_qr_{n}, (h, i) -> xxhash64(h, get(_qr_{n}, i + {n})))"))
+        df = df.withColumn(f"_qr_{2 * n}", F.expr(let(f"_qr_{n}", "a", f"transform(a, (h, i) -> xxhash64(h, get(a, i + {n})))")))
     df = df.withColumn("_qr_h", F.expr(f"slice(_qr_{WINDOW}, 1, greatest(size(_qr_w) - {WINDOW - 1}, 0))"))
     stop = sorted(set(STOP_WORDS.split()))
     length = F.length("_qr_t")
@@ -116,6 +115,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": F.size(F.filter("_qr_w", lambda w: w.isin(stop))).cast("bigint"),
             "n_exclamations": (length - F.length(without("!"))).cast("bigint"),
             "n_repeat_words": F.expr(_repeat_words("_qr_w", "_qr_h")),
+            "_qr_n": F.monotonically_increasing_id(),
         }
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -142,14 +142,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
     out = measured(docs, text).withColumns({"base_failed": base, "failed_rules": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # A row number keeps a filter on the verdict above the measures, which it would else compute again.
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("_qr_n") >= 0)).drop("_qr_n")
 
 
 def rejected_out(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    # The number keeps the filter above the measures, which it would else repeat inside their lambdas.
-    judged = quality_rules(inner, rules, names["text"]).withColumn("_qr_n", F.monotonically_increasing_id())
-    judged = judged.filter("kept and _qr_n >= 0")
+    judged = quality_rules(inner, rules, names["text"]).filter("kept")
     return judged.select(*[F.col(n).alias(c) for c, n in names.items()])
