@@ -124,6 +124,10 @@ def _types() -> dict[str, str]:
     }
 
 
+LABELLED = f"""with {KV}, t as (select doc_id, token_id as block_id, regexp_replace({STRIP.format("text")}, ':+$', '') as t from kv),
+f as (select unnest(['holder', 'segment', 'nation', 'region', 'balance']) as field),
+n as (select doc_id, block_id, field, {accent_norm("t")} as x, field as y, string_split({accent_norm("t")}, ' ') as w from t cross join f where t <> ''),
+sc as (select doc_id, block_id, field, greatest(case when list_contains(list_distinct(w), y) then 1.0 / len(list_distinct(w)) else 0.0 end, 1 - levenshtein(x, y)::double / greatest(length(x), length(y), 1)) as score from n)"""
 PATTERNS = OCC + """,
 r as (select label_type, field_name, count(*) as n, avg(found::int) as found_rate, count(*) filter (where found and x is not null and y is not null) as n_placed,
   avg(x) filter (where found and y is not null) as mean_x, avg(y) filter (where found and x is not null) as mean_y,
@@ -221,6 +225,14 @@ def sql() -> dict[str, str]:
             least(floor(percent_rank() over (partition by doc_id order by y0) * 100 / 20), 4)::int as y_bin, (token_id % 2)::int as color_id from kv""",
         "n_line_index": f"with {GRID} select doc_id, token_id, (row_number() over (partition by doc_id order by y0, ord) - 1)::int as line_index from g",
         "n_counts": f"with {KVE}, {ROLES} select role as item, count(*) as n from roles group by 1 union all select relation, count(*) from e group by 1",
+        "o_label_blocks": LABELLED + " select doc_id, block_id, field, round(max(score), 6) as score from sc where score >= 0.35 group by 1, 2, 3",
+        "o_candidates": LABELLED + """, b as (select doc_id, block_id, field from sc where score >= 0.9 group by 1, 2, 3)
+            select doc_id, field, block_id + 1 as block_id, 'same_line' as relation, 0.05::double as far from b union all
+            select doc_id, field, block_id + 2, 'below', 0.03::double from b where block_id < 8""",
+        "o_pareto": LABELLED + """, b as (select doc_id, block_id, field from sc where score >= 0.9 group by 1, 2, 3)
+            select doc_id, field, case when block_id < 8 then block_id + 2 else block_id + 1 end as block_id, case when block_id < 8 then 'below' else 'same_line' end as relation from b""",
+        "o_assign": LABELLED + """, b as (select doc_id, block_id, field from sc where score >= 0.9 group by 1, 2, 3)
+            select doc_id, field, (block_id + 1)::int as block_id, 0.9::double as score from b""",
         "p_search": "select distinct conv_id from conversations where contains(lower(text), 'thing')",
         "p_by_label": "select role as label, count(distinct conv_id) as n_sessions, max(conv_id) as newest from conversations group by 1",
         "p_dedupe": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) where r = 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import hints as H
 from pagelattice.functions import text as X
-from pagelattice.operators import assign, graph, learning, matching, sessions, style, tables
+from pagelattice.operators import assign, candidates, graph, learning, matching, sessions, style, tables
 from pagelattice.plans import oracles
 from pagelattice.sources import adapters as A
 from pagelattice.streaming import learner
@@ -310,6 +310,36 @@ def n_counts(s, d):
     return style.counts(roles, e)
 
 
+def _blocks(s, d):
+    return kv(s, d).withColumnRenamed("token_id", "block_id")
+
+
+@query
+def o_label_blocks(s, d):
+    return candidates.label_blocks(_blocks(s, d), kv_fields(s)).select("doc_id", "block_id", "field", F.round("score", 6).alias("score"))
+
+
+@query
+def o_candidates(s, d):
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    return candidates.distinct_candidates(found).select("doc_id", "field", "block_id", "relation", F.round("far", 6).alias("far"))
+
+
+@query
+def o_pareto(s, d):
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    return candidates.pareto(found, ("score",), ("far",)).select("doc_id", "field", "block_id", "relation")
+
+
+@query
+def o_assign(s, d):
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    level = F.col("relation") == "same_line"
+    no = F.lit(False)
+    score = candidates.adjusted_score(F.col("score") * 0.7, F.lit(True), no, no, level, no)
+    return candidates.assign(found.withColumns({"score": score, "kind": F.when(F.col("field") == "balance", "money").otherwise("text")})).withColumn("score", F.round("score", 6))
+
+
 @query
 def p_search(s, d):
     return sessions.search(A.table(s, d, "conversations"), "Thing")
