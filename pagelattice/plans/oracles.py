@@ -184,6 +184,15 @@ def sql() -> dict[str, str]:
         "f_roles": f"with {KV}, {ROLES} select * from roles",
         "g_initial_label": rf"""with {KV} select doc_id, token_id, case when regexp_matches(regexp_replace(text, '\s+$', ''), '{X.SEPARATOR}') or instr({s}, ':') between 2 and length({s}) - 1 then 'LABEL' end as role from kv""",
         "g_label_no_edges": f"with {GE}, {DEGREE} select g.doc_id, g.token_id, case when coalesce(degree, 0) = 0 then 'HEADER' else 'LABEL' end as role from g left join deg using (doc_id, token_id)",
+        "g_header_preserve": f"""with {GRID}, s as (select *, case when token_id < 2 then 15.0 else 10.0 end as font, case when token_id % 3 = 0 then 'VALUE' end as role from g),
+            m as (select *, avg(font) over (partition by doc_id) as mean from s)
+            select doc_id, token_id, case when y0 < 0.2 and font >= mean * 1.2 and not regexp_matches(text, '^[0-9]+$') then 'HEADER' else role end as role from m""",
+        "g_isolated": f"""with {GE}, b as (select distinct doc_id, id as token_id, other from (select doc_id, from_id as id, to_id as other from e union all select doc_id, to_id, from_id from e)),
+            c as (select doc_id, token_id, count(*) as n from b group by 1, 2)
+            select g.doc_id, g.token_id, case when g.token_id % 3 = 0 and not (coalesce(n, 0) <= 1 and not regexp_matches(text, '[0-9]') and y0 < 0.95) then 'VALUE'
+              when coalesce(n, 0) <= 1 and not regexp_matches(text, '[0-9]') and y0 < 0.95 then 'HEADER' end as role from g left join c using (doc_id, token_id)""",
+        "g_separated_pairs": f"with {KVE} select * from e where not (relation = 'south' and from_id < 2)",
+        "g_single_value": f"with {KVE} select * from e where not (from_id in (0, 4) and relation = 'south' and to_id not in (0, 4))",
         "h_aggregate": """select l_orderkey, round(sum(l_quantity::decimal(12,2)::double), 2) as total, count(*) as n, string_agg(l_returnflag, ', ' order by l_returnflag) as flags from lineitem group by 1""",
         "i_word_overlap": f"""with {KV}, f as (select unnest(['holder', 'segment', 'nation', 'region', 'balance']) as field), k as (select doc_id, token_id, {keywords("text")} as w from kv)
             select doc_id, field, token_id, 1.0::double as overlap from k join f on list_contains(w, field)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import hints as H
 from pagelattice.functions import text as X
-from pagelattice.operators import assign, candidates, graph, learning, matching, sessions, style, tables
+from pagelattice.operators import assign, candidates, graph, learning, matching, roles, sessions, style, tables
 from pagelattice.plans import oracles
 from pagelattice.sources import adapters as A
 from pagelattice.streaming import learner
@@ -168,6 +168,36 @@ def g_label_no_edges(s, d):
     return lone.select("doc_id", "token_id", F.when(F.col("degree") == 0, "HEADER").otherwise("LABEL").alias("role"))
 
 
+def _styled(s, d):
+    t = grid(s, d).withColumns({"font_size": F.when(F.col("token_id") < 2, 15.0).otherwise(10.0), "role": F.when(F.col("token_id") % 3 == 0, "VALUE")})
+    return t
+
+
+@query
+def g_header_preserve(s, d):
+    return roles.header_preservation(_styled(s, d))
+
+
+@query
+def g_isolated(s, d):
+    t = _styled(s, d)
+    return roles.isolated_short_text(t, graph.edges(graph.lines(t)))
+
+
+@query
+def g_separated_pairs(s, d):
+    t = kv(s, d).withColumn("separated_pair", F.col("token_id") < 2)
+    return roles.separated_pair_isolation(t, graph.edges(graph.lines(t))).select("doc_id", "from_id", "to_id", "relation")
+
+
+@query
+def g_single_value(s, d):
+    t = kv(s, d)
+    e = graph.edges(graph.lines(t))
+    role = F.when(F.col("token_id").isin(0, 4), "LABEL").otherwise("VALUE")
+    return roles.label_single_value(e, t.select("doc_id", "token_id", role.alias("role")))
+
+
 def _hint_query(h: H.Hint):
     def run(s, d):
         t = A.text_lines(s, d).unionByName(kv(s, d).select("doc_id", "token_id", "text"))
