@@ -7,6 +7,8 @@ are gathered only for the order-dependent line fold.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +26,39 @@ def _center(a: str, b: str):
     return (F.col(a) + F.col(b)) / F.lit(2.0)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Writes a table that several plans read to the shared folder, so that it is computed once."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = f"{folder}/pages-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lines(tokens: DataFrame) -> DataFrame:
-    """Tokens with line (rank of their line by its first centre) in the page.
+    """doc_id, token_id, ord, box and line (rank of a token's line by its first centre in the page).
 
     Tokens join, in input order, the nearest line whose running mean centre is
-    closer than LINE_GROUPING, else open one.
+    closer than LINE_GROUPING, else open one. The page's tokens are one array;
+    the fold and the ranks stay in its row.
     """
-    box = F.struct("ord", "token_id", _center("y0", "y1").alias("cy"))
+    box = F.struct("ord", "token_id", "x0", "y0", "x1", "y1")
     pages = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(box)).alias("t"))
-    fold = F.expr(
-        f"""aggregate(t, named_struct('m', cast(array() as array<struct<s: double, n: int, k: double>>), 'o', cast(array() as array<struct<token_id: int, k: double>>)),
-        (a, x) -> transform(array(array_min(transform(filter(transform(a.m, (l, i) -> struct(abs(x.cy - l.s / l.n) as d, i as i)), z -> z.d < {LINE_GROUPING}D), z -> z))), w ->
+    keys = F.expr(
+        f"""aggregate(transform(t, x -> (x.y0 + x.y1) / 2.0D),
+        named_struct('m', cast(array() as array<struct<s: double, n: int, k: double>>), 'o', cast(array() as array<double>)),
+        (a, cy) -> transform(array(array_min(filter(transform(a.m, (l, i) -> struct(abs(cy - l.s / l.n) as d, i as i)), z -> z.d < {LINE_GROUPING}D))), w ->
           if(w is null,
-             named_struct('m', concat(a.m, array(struct(x.cy as s, 1 as n, x.cy as k))), 'o', concat(a.o, array(struct(x.token_id as token_id, x.cy as k)))),
-             named_struct('m', transform(a.m, (l, i) -> if(i = w.i, struct(l.s + x.cy as s, l.n + 1 as n, l.k as k), l)),
-                          'o', concat(a.o, array(struct(x.token_id as token_id, a.m[w.i].k as k))))))[0],
+             named_struct('m', concat(a.m, array(struct(cy as s, 1 as n, cy as k))), 'o', concat(a.o, array(cy))),
+             named_struct('m', transform(a.m, (l, i) -> if(i = w.i, struct(l.s + cy as s, l.n + 1 as n, l.k as k), l)), 'o', concat(a.o, array(a.m[w.i].k)))))[0],
         a -> a.o)"""
     )
-    keyed = pages.select("doc_id", F.inline(fold)).withColumnRenamed("k", "line_key")
-    ranked = keyed.withColumn("line", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("line_key")) - 1)
-    return tokens.join(ranked.select("doc_id", "token_id", "line"), ["doc_id", "token_id"])
+    ranked = F.expr(
+        """transform(array(array_sort(array_distinct(o))), k ->
+             zip_with(t, o, (x, y) -> struct(x.token_id as token_id, x.ord as ord, x.x0 as x0, x.y0 as y0, x.x1 as x1, x.y1 as y1,
+                                             cast(array_position(k, y) - 1 as int) as line)))[0]"""
+    )
+    return pages.select("doc_id", "t", keys.alias("o")).select("doc_id", F.inline(ranked))
 
 
 def east_edges(lined: DataFrame) -> DataFrame:
@@ -78,6 +93,10 @@ def spacing_limit(lined: DataFrame) -> DataFrame:
 
 def south_edges(lined: DataFrame) -> DataFrame:
     """(doc_id, from_id, to_id): each token's best lower neighbour."""
+    return _south(materialized(lined))
+
+
+def _south(lined: DataFrame) -> DataFrame:
     cols = ("token_id", "ord", "line", "x0", "y0", "x1", "y1")
     a = lined.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = lined.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -110,10 +129,11 @@ def south_edges(lined: DataFrame) -> DataFrame:
 
 
 def edges(lined: DataFrame) -> DataFrame:
-    """East and south edges, with their order of insertion."""
+    """East and south edges, computed once for all that reads them."""
+    lined = materialized(lined)
     east = east_edges(lined).withColumn("relation", F.lit("east"))
-    south = south_edges(lined).withColumn("relation", F.lit("south"))
-    return east.unionByName(south)
+    south = _south(lined).withColumn("relation", F.lit("south"))
+    return materialized(east.unionByName(south))
 
 
 REVERSE = {"east": "west", "west": "east", "north": "south", "south": "north"}
