@@ -275,7 +275,7 @@ def l_quality_gate(s, d):
 
 @query
 def l_type_gate(s, d):
-    t = kv(s, d).unionByName(kv(s, d).limit(0))
+    t = kv(s, d)
     kinds = ("date", "money", "phone", "email", "cpf_cnpj", "number")
     return t.select("doc_id", "token_id", *[matching.type_gate(F.col("text"), F.lit(k)).alias(k) for k in kinds])
 

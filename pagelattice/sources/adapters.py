@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _token(token_id: int, text: Column, x0: int, x1: int, y0: int, role: Column | None = None) -> Column:
+def _token(token_id: int, text: Column, x0: int, x1: int, y0: int) -> Column:
     at = lambda n: F.lit(n) / F.lit(1000.0)
     return F.struct(
         F.lit(token_id).alias("token_id"), text.alias("text"), at(x0).alias("x0"), at(y0).alias("y0"), at(x1).alias("x1"), at(y0 + 20).alias("y1")
