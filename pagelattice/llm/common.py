@@ -75,11 +75,6 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.binary()), b"")
 
 
-def lower_bytes(column: pa.Array) -> list[bytes]:
-    """Whole texts as bytes with A to Z in lower case."""
-    return [x.lower() for x in as_bytes(column).to_pylist()]
-
-
 def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of texts, and the number of words of each text."""
     text = pc.fill_null(column.cast(pa.string()), "")
