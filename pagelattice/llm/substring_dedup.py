@@ -40,8 +40,6 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ROWS = 1_500_000
-#: Hits of less than this size are broadcast to the documents; more are joined by shuffle.
-BROADCAST_BYTES = 8 << 20
 SEEDS = (11, 12)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -200,14 +198,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words, n_removed, kept, size, begun = [], [], [], 0, i + 1
 
 
-def _joined(rows: DataFrame, side: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Joins arrays of places to the rows: by broadcast only below a checked size."""
-    found = side.agg(F.count("*").alias("n"), F.sum(F.size("places")).alias("p")).first()
-    if 4 * (found["p"] or 0) + 64 * found["n"] <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    return rows.join(side, on, how)
-
-
 def repeats(docs: DataFrame, space: Workspace, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (did, th, text) of the documents, and the places of their repeated windows."""
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -215,7 +205,7 @@ def repeats(docs: DataFrame, space: Workspace, text: str = "text") -> tuple[Data
     size = docs.select(F.sum(F.length(F.col(text))).alias("n")).first()["n"] or 0
     n = max(partitions(docs.sparkSession), -(-size // 14 // BUCKET_ROWS))
     hits = space.keep(anchor_hits(rows, n), "hits")
-    found = repeated_windows(_joined(rows, hits, ["did"], "inner"), n)
+    found = repeated_windows(rows.join(hits, "did"), n)
     return rows, space.keep(found, "windows")
 
 
@@ -223,7 +213,7 @@ def substring_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     space = Workspace(docs.sparkSession, "substrings")
     rows, windows = repeats(docs, space, text)
-    cut = _joined(rows, windows, ["did", "th"], "left").select("did", "th", "text", "places")
+    cut = rows.join(windows, ["did", "th"], "left").select("did", "th", "text", "places")
     out = cut.mapInArrow(_cut, "did bigint, th bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
@@ -253,7 +243,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         }
     )
     side = windows.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "places")
-    joined = _joined(keyed, side, ["_did", "_th"], "left").select(*own, F.col("places").alias("_places"))
+    joined = keyed.join(side, ["_did", "_th"], "left").select(*own, F.col("places").alias("_places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
