@@ -6,11 +6,16 @@ gathered, and each match is a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import hints as H
 from pagelattice.functions import text as X
+from pagelattice.operators.graph import materialized
 
 # Words that a field's pattern leaves out.
 FIELD_STOP = "o a de do da em no na para com por e ou"
@@ -19,6 +24,10 @@ PARTIAL = 0.8
 FLOOR = 0.3
 OVERLAP = 0.3
 MAX_FIELDS = 10_000
+#: Queries of a vector search that go to every task at once, scores computed at once, and steps of a score.
+QUERY_BLOCK = 10_000
+SCORES_AT_ONCE = 2_000_000
+SCALE = 1_000_000
 
 
 def small(fields: DataFrame) -> DataFrame:
@@ -88,15 +97,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _block_topk(vectors: DataFrame, block: pa.Table, k: int, least: float) -> DataFrame:
+    """query_id, vec_id, score: each task's k nearest vectors of a block of queries; ties go to the smaller vec_id."""
+    block = block.combine_chunks()
+    ids = block.column(0).to_numpy().astype(np.int64)
+    rows = block.column(1).to_pylist()
+    sizes = np.array([len(x) for x in rows])
+    sides = {int(n): (np.flatnonzero(sizes == n), np.array([x for x in rows if len(x) == n], np.float64)) for n in np.unique(sizes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, near = np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int64)
+        for b in batches:
+            v_ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = b.column(1)
+            n_values = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            start = np.cumsum(n_values) - n_values
+            for n, (who, q) in sides.items():
+                own = np.flatnonzero(n_values == n)
+                own = own[np.argsort(v_ids[own], kind="stable")]
+                if not len(own):
+                    continue
+                v, v_id = values[start[own][:, None] + np.arange(n)], v_ids[own]
+                step = max(1, SCORES_AT_ONCE // len(own))
+                for at in range(0, len(who), step):
+                    w = who[at : at + step]
+                    score = np.floor((q[at : at + step] @ v.T + 1) / 2 * SCALE + 0.5)
+                    score[(score / SCALE < least) | (ids[w][:, None] == v_id)] = -1
+                    # Scores and places in one number, so that the k largest are unique.
+                    key = score.astype(np.int64) * len(own) + np.arange(len(own) - 1, -1, -1)
+                    top = np.argpartition(key, max(0, len(own) - k), axis=1)[:, -k:]
+                    s = np.concatenate([best[w], np.take_along_axis(score.astype(np.int64), top, axis=1)], axis=1)
+                    i = np.concatenate([near[w], v_id[top]], axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best[w], near[w] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+        at, place = np.nonzero(best >= 0)
+        yield pa.record_batch([pa.array(ids[at]), pa.array(near[at, place]), pa.array(best[at, place] / SCALE)], ["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
 def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
     """query_id, vec_id, score, rank: each query's nearest vectors by (cos + 1) / 2.
 
-    queries is the small side (checked); a partial top-k per task comes from the
-    window's group limit, so only k rows of a task and query are shuffled.
+    Every vector meets every query. Queries go to the tasks in blocks of about
+    QUERY_BLOCK; of a block only k rows of a task and query are shuffled, and
+    with more than one block each one's rows are written before the next.
+    Rows without an id, or whose vector is null or holds a null, match nothing.
     """
-    q = small(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = vectors.select("vec_id", "embedding").crossJoin(q).filter("vec_id <> query_id")
-    scored = scored.select("query_id", "vec_id", F.round((cosine(F.col("embedding"), F.col("q")) + 1) / 2, 6).alias("score")).filter(F.col("score") >= least)
+    usable = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null)"
+    side = lambda df: df.filter(usable).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    v, q = side(vectors), side(queries)
+    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    scored = None
+    for i in range(n_blocks):
+        block = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).toArrow()
+        part = _block_topk(v, block, k, least)
+        part = part if n_blocks == 1 else materialized(part)
+        scored = part if scored is None else scored.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
