@@ -7,7 +7,7 @@ that its source needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KV_LABELS = ("Holder:", "Segment:", "Nation:", "Region:", "Balance:")
@@ -47,17 +47,16 @@ def kv_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid page for each order: a header row, then a row for each of its first six lines."""
-    facts = ("l_quantity", "l_extendedprice", "l_returnflag")
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber").between(1, 6))
-    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*facts)).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    """A grid page for each order: a header row, then a row for each of its lines, by number and values."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"))
+    li = table(spark, sf_dir, "lineitem").withColumn("place", place)
     cells = [
         F.col("l_linenumber").cast("string"),
         F.col("l_quantity").cast("decimal(12,2)").cast("string"),
         F.col("l_extendedprice").cast("decimal(12,2)").cast("string"),
         F.col("l_returnflag"),
     ]
-    line = F.col("l_linenumber").cast("int")
+    line = F.col("place")
     at = lambda x: (x / F.lit(1000.0))
 
     def cell(k: int, text: Column, row: Column) -> Column:
@@ -127,8 +126,6 @@ def spans_to_tokens(spans: DataFrame) -> DataFrame:
 
     spans: doc_id, ord, text, bx0, by0, bx1, by1, page_width, page_height, size, flags, font, color.
     """
-    from pyspark.sql import Window
-
     keep = spans.filter(~F.col("text").rlike(r"(?U)^\s*$"))
     num = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     return keep.select(

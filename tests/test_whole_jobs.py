@@ -1,10 +1,13 @@
 """Queries do their whole job: all rows, all queries, all candidates."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from pagelattice.operators import matching
+from pagelattice.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,23 @@ def test_equal_and_unusable_vectors(spark):
     got = matching.embedding_topk(v.repartition(3), v.filter("vec_id in (4, 9, 10)"), 3).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(4, 0, 1.0, 1), (4, 1, 1.0, 2), (4, 2, 1.0, 3)]
     assert matching.embedding_topk(v, v.limit(0)).count() == 0
+
+
+def test_every_line_of_an_order_has_a_grid_row(spark):
+    facts = ("l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    orders = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", *facts).collect():
+        orders[r["l_orderkey"]].append(tuple(r[c] for c in facts))
+    want = Counter()
+    for key, rows in orders.items():
+        for row, line in enumerate([("Line", "Quantity", "Price", "Flag"), *sorted(rows)]):
+            text = line if not row else (str(line[0]), f"{line[1]:.2f}", f"{line[2]:.2f}", line[3])
+            want.update((key, row * 4 + k, t, (100 + 40 * row) / 1000) for k, t in enumerate(text))
+    got = Counter((r["doc_id"], r["token_id"], r["text"], r["y0"]) for r in adapters.order_grid(spark, SF).collect())
+    assert got == want and max(x[1] for x in want) > 27
+    n_rows = sum(map(len, orders.values()))
+    q = entry.queries()
+    assert q["d_lines"](spark, SF).groupBy().max("line").first()[0] == max(map(len, orders.values()))
+    forms = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert q["d_east_edges"](spark, SF).count() == 3 * (n_rows + len(orders)) + 5 * forms
+    assert q["d_south_edges"](spark, SF).count() == 4 * n_rows
