@@ -26,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import Workspace, as_bytes, buckets_of, partitions
@@ -55,16 +55,22 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's bits as a long."""
+def text_hash(text: str = "text") -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with fp the fingerprint's bits as a long, and th, the text's hash, if asked for."""
+    names = ["doc_id", "fp"] + ["th"] * hashed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in as_bytes(b.column(1))), np.uint64, len(b))
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *[text_hash(text).alias("th")] * hashed)
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _balls(segments) -> list[tuple[int, int]]:
@@ -187,16 +193,21 @@ def links(fps: DataFrame, n_fps: int, bits: int = MAX_BITS, segments=SEGMENTS) -
     return dealt.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row."""
-    space = Workspace(docs.sparkSession, "simhash")
-    rows = space.keep(fingerprints(docs, text), "rows")
+def _grouped(docs: DataFrame, space: Workspace, bits: int, text: str, hashed: bool) -> DataFrame:
+    """Each row's fingerprints(), with its component's root (a fingerprint) and smallest id."""
+    rows = space.keep(fingerprints(docs, text, hashed), "rows")
     fps = space.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     groups = components(links(fps, fps.count(), bits), space)
     named = fps.join(groups, fps.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = space.keep(named.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = space.keep(named.join(smallest, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+    grouped = _grouped(docs, Workspace(docs.sparkSession, "simhash"), bits, text, False)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Ids up to which the kept ones are broadcast to the documents.
@@ -204,19 +215,23 @@ BROADCAST_IDS = 1_000_000
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's smallest, with their own columns.
+    """One document of each component, with its own columns: the smallest id's, of its texts that of the smallest hash.
 
-    Of repeated rows of that id one stays; only those rows are shuffled.
+    Components are told apart by root, documents by id and text, so null ids and
+    ids of several texts keep one document for each component of theirs. Of rows
+    that repeat both one stays; only those rows are shuffled.
     """
     space = Workspace(docs.sparkSession, "simhash-kept")
-    judged = near_duplicates(docs.select("doc_id", "text"))
-    keep = judged.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = space.keep(keep.select(F.col("doc_id").alias("_keep"), "n"), "keep")
+    judged = _grouped(docs.select("doc_id", "text"), space, MAX_BITS, "text", True)
+    first = judged.filter("doc_id <=> component_id").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    keep = first.groupBy("root").agg(F.min("doc_id").alias("_keep"), F.min("th").alias("_th"), F.min_by("n", "th").alias("n"))
+    keep = space.keep(keep.select("_keep", "_th", "n"), "keep")
     sizes = keep.agg(F.count("*").alias("ids"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("again")).first()
     side = lambda df: F.broadcast(df) if sizes["ids"] <= BROADCAST_IDS else df
-    same = F.col("doc_id").eqNullSafe(F.col("_keep"))
-    once = docs.join(side(keep.filter("n = 1").select("_keep")), same, "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (text_hash() == F.col("_th"))
+    once = docs.join(side(keep.filter("n = 1").select("_keep", "_th")), same, "left_semi")
     if not sizes["again"]:
         return once
-    again = docs.join(side(keep.filter("n > 1").select("_keep")), same, "left_semi").dropDuplicates(["doc_id"])
+    again = docs.join(side(keep.filter("n > 1").select("_keep", "_th")), same, "left_semi")
+    again = again.withColumn("_text", text_hash()).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return once.unionByName(again)

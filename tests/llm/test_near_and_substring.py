@@ -93,6 +93,27 @@ def test_one_of_each(odd_docs):
     assert set(ids) == {r["component_id"] for r in S.near_duplicates(odd_docs).collect()}
 
 
+def test_one_of_each_tells_components_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    a, b, c, d, e, f, g = texts
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, e), (4, f), (5, f), (5, g), (None, g)]
+
+    def kept(rows):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int").repartition(3)
+        out = S.one_of_each(docs)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], texts.index(r["text"])) for r in out.collect()), key=str)
+
+    assert kept(rows) == sorted([(None, 0), (None, 1), (1, 2), (2, 3), (2, 4), (4, 5), (5, 6)], key=str)
+    # One component of null ids only, beside null ids that are copies of an identified document.
+    assert kept([(None, a), (None, b), (None, b), (1, b)]) == sorted([(None, 0), (1, 1)], key=str)
+    # Two near texts of one id are one component.
+    near = [(1, a), (1, a.upper()), (2, a)]
+    docs = spark.createDataFrame(near, "doc_id bigint, text string")
+    assert [r["doc_id"] for r in S.one_of_each(docs).collect()] == [1]
+
+
 def brute_removed(rows):
     starts = defaultdict(set)
     key = lambda d: float("inf") if d is None else d
