@@ -351,19 +351,19 @@ def o_label_blocks(s, d):
 
 @query
 def o_candidates(s, d):
-    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s)))
     return candidates.distinct_candidates(found).select("doc_id", "field", "block_id", "relation", F.round("far", 6).alias("far"))
 
 
 @query
 def o_pareto(s, d):
-    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s)))
     return candidates.pareto(found, ("score",), ("far",)).select("doc_id", "field", "block_id", "relation")
 
 
 @query
 def o_assign(s, d):
-    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s), 0.9))
+    found = candidates.spatial_candidates(_blocks(s, d), candidates.label_blocks(_blocks(s, d), kv_fields(s)))
     level = F.col("relation") == "same_line"
     no = F.lit(False)
     score = candidates.adjusted_score(F.col("score") * 0.7, F.lit(True), no, no, level, no)
