@@ -27,8 +27,6 @@ BITS_PER_KEY = 16
 BLOCK_BITS = 256
 BROADCAST_BLOCKS = 2_000_000
 BROADCAST_KEYS = 1_000_000
-MAX_FOLDERS = 6
-MAX_DOMAINS = 6
 
 # Default rules and listed keys of the production query.
 DEFAULT_RULES = (
@@ -82,28 +80,42 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(clean, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "/{2,}", "/")))
 
 
-def lookup_keys(urls: DataFrame) -> DataFrame:
+def _parts(key: Column) -> tuple[Column, Column]:
+    """Host and path of a canonical key."""
+    host = F.substring_index(key, "/", 1)
+    return host, F.substring(key, F.length(host) + 1, F.length(key))
+
+
+def extent(keys: DataFrame) -> tuple[int, int, int]:
+    """The number of listed keys, and the most host labels and folders of any: no deeper part of a URL can be listed."""
+    host, path = _parts(F.col("key"))
+    labels, folders = F.size(F.split(host, r"\.")), F.size(F.split(path, "/")) - 1
+    return tuple(x or 0 for x in keys.agg(F.count("*"), F.max(labels), F.max(folders)).first())
+
+
+def lookup_keys(urls: DataFrame, labels: int, folders: int) -> DataFrame:
     """(url, key) for the keys that could list each (url, host, path) row.
 
-    A host's own name and its last MAX_DOMAINS + 1 parents, and a path's own
-    name and its first MAX_FOLDERS folders, bound the keys of one URL.
+    A host's own name and its parents of up to so many labels, and a path's own
+    name and its first folders, up to so many; extent() of the list loses none.
     """
     full = canonical(F.col("host"), F.col("path"))
-    df = urls.select("url", full.alias("full")).withColumn("h", F.substring_index("full", "/", 1))
-    df = df.withColumn("rest", F.substring(F.col("full"), F.length("h") + 1, F.length("full")))
+    df = urls.select("url", full.alias("full"))
+    h, rest = _parts(F.col("full"))
+    df = df.select("url", h.alias("h"), rest.alias("rest"))
     df = df.select("url", "h", "rest", F.split("h", r"\.").alias("labels"), F.split("rest", "/").alias("parts"))
     hosts = F.expr(
-        f"""transform(sequence(1, least(size(labels), {MAX_DOMAINS + 1})),
+        f"""transform(sequence(1, least(size(labels), {max(1, labels)})),
             k -> array_join(slice(labels, size(labels) - k + 1, k), '.'))"""
     )
-    folders = F.expr(
-        f"""transform(sequence(1, least(size(parts) - 1, {MAX_FOLDERS})),
+    above = F.expr(
+        f"""transform(sequence(1, least(size(parts) - 1, {max(1, folders)})),
             k -> concat(array_join(slice(parts, 1, k), '/'), '/'))"""
     )
     df = df.select(
         "url",
         F.array_distinct(F.concat(hosts, F.array("h"))).alias("hosts"),
-        F.array_distinct(F.concat(folders, F.array("rest"))).alias("tails"),
+        F.array_distinct(F.concat(above, F.array("rest"))).alias("tails"),
     )
     df = df.select("url", "tails", F.explode("hosts").alias("one"))
     return df.select("url", "one", F.explode("tails").alias("tail")).select("url", F.concat("one", "tail").alias("key"))
@@ -145,9 +157,9 @@ def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """Of distinct (url, host, path) rows, those that the list (column url) covers."""
     at = F.col("url")
     keys = listed.filter(at.contains("://")).select(canonical(host_of(at), path_of(at)).alias("key")).distinct()
-    n_keys = keys.count()
+    n_keys, labels, folders = extent(keys)
     bloom, n_blocks = build_filter(keys, n_keys)
-    hits = possible(lookup_keys(urls.filter(F.col("host") != "")), bloom, n_blocks)
+    hits = possible(lookup_keys(urls.filter(F.col("host") != ""), labels, folders), bloom, n_blocks)
     exact = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
     return hits.join(exact, "key", "left_semi").select("url").distinct()
 

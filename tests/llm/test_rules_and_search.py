@@ -91,6 +91,17 @@ def test_url_cases(spark):
     assert by[None][3] == "block"
 
 
+def test_deep_listed_urls(spark):
+    listed = spark.createDataFrame([("http://h.io/a/b/c/d/e/f/g/",), ("http://2.3.4.5.6.7.8.example.org/",), ("http://a.b/x/y/z",)], "url string")
+    urls = {
+        "http://h.io/a/b/c/d/e/f/g/page": "block", "http://h.io/a/b/c/d/e/f/g/h/i/j/k": "block", "http://h.io/a/b/c/d/e/f/x/page": "allow", "http://h.io/a/b/c/d/e/f/g": "allow",
+        "http://0.1.2.3.4.5.6.7.8.example.org/": "block", "http://3.4.5.6.7.8.example.org/q/r": "allow", "http://c.a.b/x/y/z": "block", "http://a.b/x/y/z/1": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = U.url_filter(pages, [], listed).collect()
+    assert {r["url"]: r["verdict"] for r in got} == urls
+
+
 def test_filter_has_no_false_negatives_and_few_positives(spark):
     keys = spark.range(20_000).selectExpr("concat('k', id) as key")
     bloom, blocks = U.build_filter(keys, 20_000)
