@@ -21,9 +21,10 @@ other columns are ignored. A damaged record raises an error.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -177,6 +178,14 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
+def archive_bytes(content: bytes) -> bytes:
+    """An archive's records: all members of a gzip file, or the bytes of a plain one."""
+    if not content.startswith(b"\x1f\x8b"):
+        return content
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        return members.read()
+
+
 def _bare(identifier: str | None) -> str | None:
     return identifier[len("<urn:uuid:") : -1] if identifier else None
 
@@ -189,7 +198,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for f, block in parse(zlib.decompress(content.as_py(), 31)):
+                for f, block in parse(archive_bytes(content.as_py())):
                     rows.append(
                         (f["WARC-Type"], _bare(f["WARC-Record-ID"]), _bare(f.get("WARC-Segment-Origin-ID")), number(f.get("WARC-Segment-Number")),
                          number(f.get("WARC-Segment-Total-Length")), number(f.get("Page-ID")), f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
@@ -202,7 +211,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _RECORD.types)], schema=_RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(read, _RECORD_DDL)
 
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import zlib
@@ -161,6 +162,20 @@ def test_archives_round_trip(spark):
     assert W.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_several_members_and_plain_ones(spark, tmp_path):
+    texts = [f"page {i} " * 20 for i in range(5)]
+    records = []
+    for i, t in enumerate(texts):
+        digest = hashlib.sha256(t.encode()).hexdigest()
+        records += [r.encode() + b"\r\n\r\n" for r in W.records_of("http://a", i, t.encode(), digest, None, False, i, W.SEGMENT_BYTES)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:3]))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[3:]))
+    responses, _ = W.read_pages(spark, str(tmp_path))
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in responses.collect()) == [(i, len(t)) for i, t in enumerate(texts)]
+    with pytest.raises(EOFError):
+        W.archive_bytes(gzip.compress(records[0]) + gzip.compress(records[1])[:-4])
+
+
 def test_lost_segments_are_noticed(spark):
     rows = [("response", "r1", None, 1, None, 1, "d", None, b"ab"), ("continuation", "r3", "r1", 3, 6, None, None, None, b"ef")]
     with pytest.raises(Exception, match="segments missing"):
