@@ -1,12 +1,13 @@
-"""Benchmark items inside documents, by size-partitioned MinHash containment.
+"""Benchmark items inside documents, by MinHash containment.
 
 A text's shingles are the distinct runs of SHINGLE words, A to Z lower-cased. An
 item of n shingles is contained in a document at threshold t if at least
 ceil(t n) of its shingles occur there, so of any n - ceil(t n) + 1 of them one
 must. An item's sketch is that many of its smallest shingle hashes (a bottom-k
-MinHash); items are partitioned by size, and each partition has the largest hash
-of its sketches as its limit. Documents, however long, look up only those of
-their own hashes that are below the limits. No pair at the threshold is missed;
+MinHash). Documents, however long, look up only those of their own hashes that
+are at most the largest hash of all sketches. Items are not partitioned by size:
+one short item with a high hash raises that limit for every document. No pair at
+the threshold is missed;
 the pairs that meet are then verified on the shingles themselves.
 
 All of it is built-in expressions. Items go to every task only if they have few
