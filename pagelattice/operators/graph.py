@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelattice.storage import shared_dir
+
 SAME_LINE = 0.005
 LINE_GROUPING = 0.01
 MIN_OVERLAP_X = 0.1
@@ -29,8 +31,7 @@ def _center(a: str, b: str):
 def materialized(df: DataFrame) -> DataFrame:
     """Writes a table that several plans read to the shared folder, so that it is computed once."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/pages-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

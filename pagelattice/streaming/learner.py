@@ -7,10 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return found.rstrip("/")
+from pagelattice.storage import shared_dir
 
 
 def stream_rates(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +17,7 @@ def stream_rates(spark: SparkSession, path: str) -> DataFrame:
     to a table in the shared folder; the batch number is part of its folder, so
     a batch that is run again replaces its own counts.
     """
-    at = f"{shared_folder(spark)}/learner-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/learner-{uuid.uuid4().hex}"
     static = spark.read.parquet(path)
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(static.schema).parquet(path)
