@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelattice.storage import shared_dir
+
 #: Space and the control characters tab to carriage return separate words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -35,15 +38,19 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, since idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """Passes batches on, and gives memory back after the last."""
+    yield from batches
+    give_back()
 
 
 class Workspace:
@@ -66,6 +73,10 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of text that a worker takes from a batch at once.
+BYTES_AT_ONCE = 4_000_000
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -94,12 +105,10 @@ def buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def text_parts(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+def text_parts(batch: pa.RecordBatch, column: int, at_once: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about so many bytes of text; a longer text is a part of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // at_once
-    at = 0
-    for n in np.unique(part):
-        rows = int((part == n).sum())
-        yield batch.slice(at, rows)
-        at += rows
+    cuts = np.append(np.unique(part, return_index=True)[1], len(batch)).tolist()
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(at, end - at)

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -90,6 +91,55 @@ def test_scores_against_brute_force(odd_docs, monkeypatch, bound):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in scored)
 
 
+def every_way(word, texts, lp):
+    """All segmentations of a word: their pieces and log probabilities."""
+    if not word:
+        return [((), 0.0)]
+    out = [((i, *rest), lp[i] + p) for i, x in enumerate(texts) if word.startswith(x) for rest, p in every_way(word[len(x) :], texts, lp)]
+    if word[0] not in texts:
+        raw = tuple(len(texts) + b for b in word[0].encode())
+        out += [((*raw, *rest), sum(lp[i] for i in raw) + p) for rest, p in every_way(word[1:], texts, lp)]
+    return out
+
+
+@pytest.mark.parametrize("prior_weight,word_weight", [(5.0, 0.4), (5.0, 0.0), (math.inf, 0.0)])
+def test_whole_scores_against_all_segmentations(spark, monkeypatch, prior_weight, word_weight):
+    monkeypatch.setattr(M, "FREQUENT", 4)
+    texts = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    p = P.Pieces(["<unk>", *texts], np.array([0, -2.0, -1.5, -1.2, -2.0, -2.1, -0.5, -2.9]), np.arange(1, 8), np.full(256, -1), 0, True, True)
+    docs = [(0, "aba ab A"), (1, "ab ab é"), (2, "baab x"), (3, None), (4, "ab aba"), (5, "abab zz"), (6, "a b ab ab")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    split = {d: (t or "").lower().split() for d, t in docs}
+    train = Counter(w for d, ws in split.items() if not held(d) for w in ws)
+    ends = sum(not held(d) for d in split)
+    start = M.prior(p)
+    total = np.zeros(len(start))
+    for w, c in train.items():
+        ways = every_way("▁" + w, texts, start)
+        z = sum(math.exp(x) for _, x in ways)
+        for ids, x in ways:
+            np.add.at(total, list(ids), c * math.exp(x) / z)
+    total[-1] = ends
+    law = total / prior_weight + np.exp(start)
+    lp = np.log(law / law.sum())
+    n = sum(train.values()) + ends
+    chance = lambda w: (1 - word_weight) * sum(math.exp(x) for _, x in every_way("▁" + w, texts, lp)) + word_weight * train[w] / n
+    want = {d: sum(math.log10(chance(w)) for w in ws) + lp[-1] / math.log(10) for d, ws in split.items()}
+    got = {r["doc_id"]: r["score"] for r in M.lm_scores(df, vocabulary=p, prior_weight=prior_weight, word_weight=word_weight).collect()}
+    assert any(map(held, split)) and got == pytest.approx(want, abs=1e-9)
+
+
+def test_long_words_take_bounded_memory():
+    texts = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    lattice = M.Lattice(texts, M.prior(P.Pieces(texts, np.zeros(7), np.arange(7), np.full(256, -1), 0, True, True)))
+    tracemalloc.start()
+    uses = lattice.expected(["ab" * 10_000], np.array([1.0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert uses.sum() > 5_000 and peak < 4_000_000
+
+
 def test_scores_of_nothing(no_docs):
     assert M.lm_scores(no_docs).count() == 0
 
@@ -99,32 +149,65 @@ def vocabulary():
     return S.Vocabulary(P.load())
 
 
-def test_pieces_equal_the_library(vocabulary):
+@pytest.mark.parametrize("few", [1, 16, 10_000])
+def test_pieces_equal_the_library(vocabulary, monkeypatch, few):
     import sentencepiece
 
+    monkeypatch.setattr(S, "FEW_UNITS", few)
     sp = sentencepiece.SentencePieceProcessor(model_file=P.default_path())
-    texts = ["", " ", "  a", "a  b ", "hello world", "naïve café 日本語 🙂\n\n\tx", "a" * 40, "    def f():\n        return 1", "▁x y", "x" * 3000, "123456 7890.12", "a\x00b c"]
+    texts = ["", " ", "  a", "a  b ", "hello world", "naïve café 日本語 🙂\n\n\tx", "a" * 40, "    def f():\n        return 1", "▁x y", "x" * 3000, "123456 7890.12", "a b c\x00d \x00"]
     texts += ["".join(np.random.default_rng(i).choice(list("abcdeèéñ .,\n#|日"), 200)) for i in range(40)]
-    ids, counts = S.encode(vocabulary, pa.array(texts))
+    ids, counts = S.encode(S.Memory(vocabulary), pa.array(texts))
     ends = np.append(0, np.cumsum(counts))
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == sp.encode(texts)
     back = S.decode(vocabulary, ids, counts)
     assert [b.decode() for b in back] == [t.replace("▁", " ") for t in texts]
 
 
-def test_suffix_array_orders_and_finds():
-    text = "abracadabra"
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    order = S.suffix_array(codes, 16)
-    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    low, high = S.occurrences(codes, order, ["abra", "a", "x", "cad"])
-    assert [sorted(order[a:b].tolist()) for a, b in zip(low, high)] == [[0, 7], [0, 3, 5, 7, 10], [], [4]]
-
+def test_memory_forgets_and_stays_right(vocabulary, monkeypatch):
+    import sentencepiece
 
-def test_unigram_model_takes_the_best_sum():
+    monkeypatch.setattr(S, "REMEMBERED_UNITS", 40)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.default_path())
+    m, rng = S.Memory(vocabulary), np.random.default_rng(5)
+    for _ in range(12):
+        texts = [" ".join(["the", "of"] + ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(20)]) for _ in range(3)]
+        ids, counts = S.encode(m, pa.array(texts))
+        ends = np.append(0, np.cumsum(counts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == sp.encode(texts)
+        assert len(m.number) <= 140 and len(m.number) == len(m.size)
+
+
+def test_one_pair_at_a_time_agrees(vocabulary):
+    rng = np.random.default_rng(3)
+    a, b = rng.choice(vocabulary.usable, 4000), rng.choice(vocabulary.usable, 4000)
+    fits = vocabulary.scalar_follow()
+    assert vocabulary.may_follow(a, b).tolist() == [fits(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+
+@pytest.mark.parametrize("letters", ["abrcd", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+def test_suffix_array_orders_and_finds(letters):
+    rng = np.random.default_rng(1)
+    text = "abracadabra" + "".join(rng.choice(list(letters), 300)) + "abracadabra" * 3
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int32)
+    index = S.Index(codes, 16)
+    want = sorted(range(len(text)), key=lambda i: text[i:])
+    assert [text[i : i + 16] for i in index.order] == [text[i : i + 16] for i in want]
+    strings = ["abra", "a", "x", "cad", "abracadabra", "abracadabraabrac", "abracadabraabraz", text[20:34], text[40:56]]
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int32)
+    size = np.array(list(map(len, strings)))
+    low, high = index.ranges(flat, np.cumsum(size) - size, size)
+    for s, a, b in zip(strings, low, high):
+        assert sorted(index.order[a:b].tolist()) == [i for i in range(len(text)) if text.startswith(s, i)]
+
+
+def test_unigram_model_takes_the_best_sum(monkeypatch):
     texts = ["<unk>", "▁a", "b", "▁", "a", "ab", "▁ab"]
     p = P.Pieces(texts, np.array([0, -1.5, -1.2, -2.0, -2.1, -0.5, -2.9]), np.arange(1, 7), np.full(256, -1), 0, True, True)
-    assert S.encode_units(S.Vocabulary(p), ["▁ab", "▁aab", "▁é"]) == [[3, 5], [1, 5], [3, 0]]
+    for few in (1, 16):
+        monkeypatch.setattr(S, "FEW_UNITS", few)
+        ids, counts = S.encode_units(S.Vocabulary(p), ["ab", "aab", "é"])
+        assert ids.tolist() == [3, 5, 1, 5, 3, 0] and counts.tolist() == [2, 2, 2]
 
 
 def test_encoding_odd_rows(odd_docs, no_docs):
