@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import Workspace, as_bytes, buckets_of, partitions
+from pagelattice.llm.common import Workspace, as_bytes, buckets_of, give_back, partitions, text_parts, tidy
 from pagelattice.llm.graph import components
 
 SHINGLE = 4
@@ -65,12 +65,12 @@ def fingerprints(docs: DataFrame, text: str = "text", hashed: bool = False) -> D
     names = ["doc_id", "fp"] + ["th"] * hashed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_parts(whole, 1)):
             fps = np.fromiter((fingerprint(x.as_py()) for x in as_bytes(b.column(1))), np.uint64, len(b))
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *[text_hash(text).alias("th")] * hashed)
-    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(lambda batches: tidy(run(batches)), ", ".join(f"{n} bigint" for n in names))
 
 
 def _balls(segments) -> list[tuple[int, int]]:
@@ -187,21 +187,35 @@ def links(fps: DataFrame, n_fps: int, bits: int = MAX_BITS, segments=SEGMENTS) -
         which = t["entries"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         key = _keys(fp, flip_of[which], seg_of[which], segments)
         u, v = bucket_links(key, fp, flip_of[which] == 0, bits)
+        give_back()
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     dealt = fps.select("fp").mapInArrow(deal, "bucket int, fps array<bigint>, entries array<smallint>")
     return dealt.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
+#: A fingerprint that this share of all rows or more has is common; fewer than COMMON can be.
+COMMON = 10_000
+
+
 def _grouped(docs: DataFrame, space: Workspace, bits: int, text: str, hashed: bool) -> DataFrame:
-    """Each row's fingerprints(), with its component's root (a fingerprint) and smallest id."""
+    """Each row's fingerprints(), with its component's root (a fingerprint) and smallest id.
+
+    Rows meet their fingerprint's group by a shuffle on the fingerprint; the at
+    most COMMON fingerprints that have a COMMON-th of all rows are broadcast, so
+    that no task gets all copies of one.
+    """
     rows = space.keep(fingerprints(docs, text, hashed), "rows")
-    fps = space.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    groups = components(links(fps, fps.count(), bits), space)
-    named = fps.join(groups, fps.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps = space.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fps")
+    sums = fps.agg(F.count("*").alias("fps"), F.sum("n").alias("rows")).first()
+    groups = components(links(fps, sums["fps"], bits), space)
+    named = fps.join(groups, fps.fp == groups.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = space.keep(named.join(smallest, "root").select("fp", "root", "component_id"), "named")
-    return rows.join(named, "fp", "left")
+    named = space.keep(named.join(smallest, "root").select("fp", "root", "component_id", "n"), "named")
+    common = F.col("n") * COMMON >= (sums["rows"] or 0)
+    hot, cold = named.filter(common).drop("n"), named.filter(~common).drop("n")
+    rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
+    return rows.join(F.broadcast(hot), "fp").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, text: str = "text") -> DataFrame:

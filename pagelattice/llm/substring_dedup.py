@@ -11,6 +11,10 @@ an aligned anchor of WINDOW - PERIOD + 1 words.
    its own document's is repeated.
 3. The words that repeated windows cover are removed.
 
+Windows are equal if two independent 64-bit hashes of their words are: among
+10^12 different windows two agree by chance with a probability below 10^-14,
+which is accepted in place of comparing the words again.
+
 Before it is dealt, a batch decides what it can: of anchors or windows that
 several of its documents share only the smallest id's goes out, and the rest go
 on as decided, spread by document, so a passage in a third of all documents
@@ -32,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import NO_ID, Workspace, as_bytes, partitions
+from pagelattice.llm.common import NO_ID, Workspace, as_bytes, give_back, partitions, text_parts, tidy
 from pagelattice.llm.exchange import buckets_of, mix, pack, places, runs, unpack, window_hashes, word_hashes
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 1_000_000
 SEEDS = (11, 12)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -62,36 +66,49 @@ def _by_document(ids: list[np.ndarray], place: np.ndarray) -> list[pa.Array]:
     return [pa.array(x[start]) for x in ids] + [pa.ListArray.from_arrays(offsets, pa.array(place[order].astype(np.int32)))]
 
 
-def _gather(ids: list[str], n_buckets: int):
-    """(onward, collect): deals found places by document, and puts each document's together."""
+def _row_bucket(did: np.ndarray, th: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of each row, told by its id and its text, so rows without an id spread too."""
+    return buckets_of(mix(did.view(np.uint64) ^ mix(th.view(np.uint64))), n_buckets).astype(np.int32)
+
+
+def _onward(n_buckets: int, did: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.Table:
+    """Deals found places by row."""
+    give_back()
+    return pa.Table.from_batches([pack(_row_bucket(did, th, n_buckets), {"did": did, "th": th, "place": place})])
+
+
+def _collect(t: pa.Table) -> pa.Table:
+    """Puts each row's places together."""
+    out = pa.table(_by_document(*(lambda did, th, place: ([did, th], place))(*unpack(t, ["did", "th", "place"]))), ["did", "th", "places"])
+    give_back()
+    return out
 
-    def onward(did: np.ndarray, **columns: np.ndarray) -> pa.Table:
-        bucket = buckets_of(mix(did.view(np.uint64)), n_buckets).astype(np.int32)
-        return pa.Table.from_batches([pack(bucket, {"did": did, **columns})])
 
-    def collect(t: pa.Table) -> pa.Table:
-        *keys, place = unpack(t, [*ids, "place"])
-        return pa.table(_by_document(keys, place), [*ids, "places"])
+FOUND = "bucket int, did array<bigint>, th array<bigint>, place array<int>"
 
-    return onward, collect
+
+def _met(dealt: DataFrame, meet, n_buckets: int) -> DataFrame:
+    """Groups of a bucket each through meet, then each row's found places: did, th, places. A bucket is a task of its own."""
+    alone = lambda df: df.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
+    return alone(alone(dealt).applyInArrow(meet, FOUND)).applyInArrow(_collect, "did bigint, th bigint, places array<int>")
 
 
 def anchor_hits(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """(did, places) of anchors that occur under two ids or more."""
+    """(did, th, places) of anchors that occur under two ids or more."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (words,), counts = word_hashes(b.column(1), SEEDS[:1])
+        for b in (part for whole in batches for part in text_parts(whole, 2)):
+            (words,), counts = word_hashes(b.column(2), SEEDS[:1])
             owner, place = places(counts)
             h = window_hashes(words, ANCHOR)
             owner, place = owner[: len(h)], place[: len(h)]
             use = np.isin(place % PERIOD, COVER) & (place + ANCHOR <= counts[owner]) & (counts[owner] >= WINDOW)
             h, place, owner = h[use], place[use], owner[use]
-            did = b.column(0).to_numpy(zero_copy_only=False)[owner]
+            did, th = (b.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
             if not len(h):
                 continue
             order, group, least = _decided([h], did)
-            h, did, place = h[order], did[order], place[order].astype(np.int32)
+            h, did, th, place = h[order], did[order], th[order], place[order].astype(np.int32)
             n = len(least)
             shared = np.zeros(n, bool)
             np.logical_or.at(shared, group[did > least[group]], True)
@@ -99,33 +116,34 @@ def anchor_hits(rows: DataFrame, n_buckets: int) -> DataFrame:
             first[np.unique(group, return_index=True)[1]] = True
             hit = shared[group]
             out = ~hit | first
-            bucket = np.concatenate([buckets_of(h[out], n_buckets), buckets_of(mix(did[hit].view(np.uint64)), n_buckets)]).astype(np.int32)
+            bucket = np.concatenate([buckets_of(h[out], n_buckets).astype(np.int32), _row_bucket(did[hit], th[hit], n_buckets)])
             #: state 0: open, 1: stands for a decided group, 2: a decided hit
             state = np.concatenate([np.where(hit[out], 1, 0), np.full(hit.sum(), 2)]).astype(np.int8)
-            yield pack(bucket, {"h": np.concatenate([h[out], h[hit]]).view(np.int64), "did": np.concatenate([did[out], did[hit]]), "place": np.concatenate([place[out], place[hit]]), "state": state})
+            both = lambda x: np.concatenate([x[out], x[hit]])
+            yield pack(bucket, {"h": both(h).view(np.int64), "did": both(did), "th": both(th), "place": both(place), "state": state})
 
     def meet(t: pa.Table) -> pa.Table:
-        h, did, place, state = unpack(t, ["h", "did", "place", "state"])
+        h, did, th, place, state = unpack(t, ["h", "did", "th", "place", "state"])
         done = state == 2
         order, group, least = _decided([h[~done]], did[~done])
-        d, p, s = did[~done][order], place[~done][order], state[~done][order]
+        d, x, p, s = did[~done][order], th[~done][order], place[~done][order], state[~done][order]
         shared = np.zeros(len(least), bool)
         if len(d):
             shared[group[d > least[group]]] = True
         new = shared[group] & (s == 0) if len(d) else np.zeros(0, bool)
-        return onward(np.concatenate([did[done], d[new]]), place=np.concatenate([place[done], p[new]]))
+        return _onward(n_buckets, np.concatenate([did[done], d[new]]), np.concatenate([th[done], x[new]]), np.concatenate([place[done], p[new]]))
 
-    onward, collect = _gather(["did"], n_buckets)
-    dealt = rows.select("did", "text").mapInArrow(deal, "bucket int, h array<bigint>, did array<bigint>, place array<int>, state array<tinyint>")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "bucket int, did array<bigint>, place array<int>")
-    return met.groupBy("bucket").applyInArrow(collect, "did bigint, places array<int>")
+    dealt = rows.select("did", "th", "text").mapInArrow(
+        lambda batches: tidy(deal(batches)), "bucket int, h array<bigint>, did array<bigint>, th array<bigint>, place array<int>, state array<tinyint>"
+    )
+    return _met(dealt, meet, n_buckets)
 
 
 def repeated_windows(hit_rows: DataFrame, n_buckets: int) -> DataFrame:
     """(did, th, places) of windows that start under a smaller id too; rows have did, th, text, places."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_parts(whole, 2)):
             (one, two), counts = word_hashes(b.column(2), SEEDS)
             first = np.cumsum(counts) - counts
             at = b.column(3)
@@ -146,7 +164,7 @@ def repeated_windows(hit_rows: DataFrame, n_buckets: int) -> DataFrame:
             h1, h2, did, th, place = (x[order] for x in (h1, h2, did, th, place))
             hit = did > least[group]
             out = ~hit
-            bucket = np.concatenate([buckets_of(h1[out], n_buckets), buckets_of(mix(did[hit].view(np.uint64)), n_buckets)]).astype(np.int32)
+            bucket = np.concatenate([buckets_of(h1[out], n_buckets).astype(np.int32), _row_bucket(did[hit], th[hit], n_buckets)])
             both = lambda x: np.concatenate([x[out], x[hit]])
             state = np.concatenate([np.zeros(out.sum()), np.full(hit.sum(), 2)]).astype(np.int8)
             yield pack(bucket, {"h1": both(h1).view(np.int64), "h2": both(h2).view(np.int64), "did": both(did), "th": both(th), "place": both(place), "state": state})
@@ -157,20 +175,17 @@ def repeated_windows(hit_rows: DataFrame, n_buckets: int) -> DataFrame:
         order, group, least = _decided([h1[~done], h2[~done]], did[~done])
         d, x, p = did[~done][order], th[~done][order], place[~done][order]
         new = d > least[group] if len(d) else np.zeros(0, bool)
-        return onward(np.concatenate([did[done], d[new]]), th=np.concatenate([th[done], x[new]]), place=np.concatenate([place[done], p[new]]))
+        return _onward(n_buckets, np.concatenate([did[done], d[new]]), np.concatenate([th[done], x[new]]), np.concatenate([place[done], p[new]]))
 
-    onward, collect = _gather(["did", "th"], n_buckets)
     dealt = hit_rows.select("did", "th", "text", "places").mapInArrow(
-        deal, "bucket int, h1 array<bigint>, h2 array<bigint>, did array<bigint>, th array<bigint>, place array<int>, state array<tinyint>"
+        lambda batches: tidy(deal(batches)), "bucket int, h1 array<bigint>, h2 array<bigint>, did array<bigint>, th array<bigint>, place array<int>, state array<tinyint>"
     )
-    met = dealt.groupBy("bucket").applyInArrow(meet, "bucket int, did array<bigint>, th array<bigint>, place array<int>")
-    return met.groupBy("bucket").applyInArrow(collect, "did bigint, th bigint, places array<int>")
+    return _met(dealt, meet, n_buckets)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in text_parts(whole, 2)):
         n_words, n_removed, kept = [], [], []
-        size, begun = 0, 0
         for i, text in enumerate(as_bytes(b.column(2))):
             w = text.as_py().split()
             at = b.column(3)[i].as_py()
@@ -188,14 +203,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words.append(len(w))
             n_removed.append(gone)
             kept.append(b" ".join(w_kept))
-            size += len(kept[-1])
-            if size > 8_000_000 or i == len(b) - 1:
-                part = b.slice(begun, i + 1 - begun)
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    ["did", "th", "n_words", "n_removed", "kept_text"],
-                )
-                n_words, n_removed, kept, size, begun = [], [], [], 0, i + 1
+        yield pa.record_batch(
+            [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            ["did", "th", "n_words", "n_removed", "kept_text"],
+        )
 
 
 def repeats(docs: DataFrame, space: Workspace, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -205,7 +216,7 @@ def repeats(docs: DataFrame, space: Workspace, text: str = "text") -> tuple[Data
     size = docs.select(F.sum(F.length(F.col(text))).alias("n")).first()["n"] or 0
     n = max(partitions(docs.sparkSession), -(-size // 14 // BUCKET_ROWS))
     hits = space.keep(anchor_hits(rows, n), "hits")
-    found = repeated_windows(rows.join(hits, "did"), n)
+    found = repeated_windows(rows.join(hits, ["did", "th"]), n)
     return rows, space.keep(found, "windows")
 
 
@@ -214,7 +225,7 @@ def substring_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     space = Workspace(docs.sparkSession, "substrings")
     rows, windows = repeats(docs, space, text)
     cut = rows.join(windows, ["did", "th"], "left").select("did", "th", "text", "places")
-    out = cut.mapInArrow(_cut, "did bigint, th bigint, n_words bigint, n_removed bigint, kept_text string")
+    out = cut.mapInArrow(lambda batches: tidy(_cut(batches)), "did bigint, th bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
@@ -246,8 +257,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     joined = keyed.join(side, ["_did", "_th"], "left").select(*own, F.col("places").alias("_places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = {n: i for i, n in enumerate(own)}
+        at = {n: i for i, n in enumerate(own)}
+        for b in (part for whole in batches for part in text_parts(whole, at["text"])):
             texts, keep = b.column(at["text"]).cast(pa.binary()).to_pylist(), []
             for i, places in enumerate(b.column(len(own)).to_pylist()):
                 if places:
@@ -260,5 +271,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             cols[at["text"]] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.record_batch(cols, own).filter(pa.array(keep))
 
-    out = joined.mapInArrow(cut, docs.schema)
+    out = joined.mapInArrow(lambda batches: tidy(cut(batches)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
