@@ -17,8 +17,12 @@ MONEY = r"(?i)(?:R\s*\$|US\s*\$|\$|€|£|BRL|USD|EUR|GBP)\s*(?:\d{1,3}(?:[.,]\d
 CPF_CNPJ = r"(?:\d{3}[.-]?\d{3}[.-]?\d{3}[.-]?\d{2})|(?:\d{2}[.-]?\d{3}[.-]?\d{3}[/-]?\d{4}[.-]?\d{2})|(?:^\d{11}$)|(?:^\d{14}$)"
 PHONE = r"(?:\(?\d{2}\)?\s?)?\d{4,5}[.-]?\d{4}|(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,3}\)?[\s.-]?\d{4,5}[\s.-]?\d{4}|(?:^\d{10,11}$)"
 ADDRESS = r"(?i)(?:rua|av|avenida|rod|rodovia|estrada|travessa|praça|alameda|via)[\s.]*[^\s,]+|\d{5}[-.]?\d{3}|(?:cep|zip|postal)[\s:]*\d{5}[-.]?\d{3}"
-POSTAL = r"\d{5}[-.]?\d{3}"
+POSTAL = r"\b\d{5}[-.]?\d{3}\b"
+POSTAL_WORD = r"\b(?:cep|zip|postal)\b"
 STREETS = "rua av avenida rod rodovia estrada travessa praça alameda via boulevard blvd avenue street"
+#: A word that begins with a street word.
+STREET = rf"(?:^|\s)(?:{STREETS.replace(' ', '|')})"
+LETTER = "[A-Za-zÀ-ÿ]"
 ACRONYMS = "PR SP RJ MG RS BA SC GO PE CE DF ES MT MS PA PB AM RN AL PI TO MA SE RO AC AP RR BR US EUA CNPJ CPF RG IE UF OAB CRC CREA"
 DATE_WORDS = (
     "data date vencimento venc expira expiration emissao emissão emission inicio início start fim end final termino término "
@@ -33,6 +37,7 @@ ADDRESS_WORDS = (
     "endereco endereço address rua street avenida avenue bairro neighborhood cidade city estado state uf cep zip postal code "
     "local location logradouro numero número number complemento complement"
 )
+NAME_TAIL = r"[^\wÀ-ÿ\s-]+$"
 NAME_WORDS = "nome name pessoa person profissional cliente"
 NAME_PHRASES = ("nome completo", "nome da pessoa", "nome do profissional")
 ID_WORDS = ("documento", "identificacao", "identificação", "inscricao", "inscrição")
@@ -60,17 +65,20 @@ def _ratio(c: Column) -> Column:
 
 
 def _address(c: Column) -> Column:
-    words = F.split(F.lower(strip(c)), r"\s+")
-    street = F.exists(words, lambda w: F.exists(F.array(*[F.lit(s) for s in STREETS.split()]), lambda s: (w == s) | w.startswith(F.concat(s, F.lit(".")))))
-    mixed = (F.size(words) >= 2) & c.rlike(r"\d") & c.rlike("[A-Za-zÀ-ÿ]")
-    return street | c.rlike(POSTAL) | F.lower(c).rlike("cep|zip|postal") | mixed
+    mixed = strip(c).rlike(r"\s") & c.rlike(r"\d") & c.rlike(LETTER)
+    return F.lower(c).rlike(f"{STREET}|{POSTAL_WORD}|{POSTAL}") | mixed
 
 
 def _name(c: Column) -> Column:
     t = strip(c)
-    words = F.split(t, r"\s+")
-    long = F.when(F.size(words) >= 2, F.exists(words, lambda w: F.length(w) >= 3)).otherwise(F.length(t) >= 4)
-    return (F.length(t) >= 3) & ~F.upper(t).isin(ACRONYMS.split()) & (_ratio(t) <= 0.3) & long
+    long = F.when(t.rlike(r"\s"), t.rlike(r"\S{3}")).otherwise(F.length(t) >= 4)
+    return (F.length(t) >= 3) & ~F.upper(t).isin(ACRONYMS.split()) & (_ratio(t) <= 0.3) & long & t.rlike(LETTER)
+
+
+def _bare_name(c: Column) -> Column:
+    """The text without marks at its end, if it is still a name."""
+    t = strip(F.regexp_replace(strip(c), NAME_TAIL, ""))
+    return F.when(_name(t), t)
 
 
 @dataclass(frozen=True)
@@ -95,9 +103,10 @@ HINTS = (
     Hint("cpf_cnpj", 1, _concerns_id, lambda c: _digits(c).isin(11, 14) & c.rlike(CPF_CNPJ), _first(CPF_CNPJ)),
     Hint("phone", 1, _has_word(PHONE_WORDS), lambda c: _digits(c).between(10, 15) & c.rlike(PHONE), _first(PHONE)),
     Hint("address", 1, _has_word(ADDRESS_WORDS), _address, _first(ADDRESS), "list"),
-    Hint("name", 2, _concerns_name, _name, lambda c: F.regexp_replace(strip(c), r"[.,;:]+$", "")),
-    Hint("text", 3, lambda n, d: True, lambda c: c.rlike("[A-Za-zÀ-ÿ]") & (_ratio(c) <= 0.8), strip),
+    Hint("name", 2, _concerns_name, _name, _bare_name, "concatenate"),
+    Hint("text", 3, lambda n, d: True, lambda c: c.rlike(LETTER) & (_ratio(c) <= 0.8), strip),
 )
+BY_NAME = {h.name: h for h in HINTS}
 
 
 class Registry:
@@ -113,6 +122,10 @@ class Registry:
         else:
             self.hints.append(hint)
 
+    def ordered(self) -> list[Hint]:
+        """By priority, in the order they were registered."""
+        return sorted(self.hints, key=lambda h: h.priority)
+
     def relevant(self, name: str, description: str) -> list[Hint]:
         return sorted((h for h in self.hints if h.concerns(name, description)), key=lambda h: h.priority)
 

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns, accent map and stop words of the field language.
+# Patterns and stop words of the field language.
 DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}"
 CODE = r"[$€£]\s*\d|\d[.,/-]\d"
 SEPARATOR = r"[:—–.•/]$"
-ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 STOP = (
     "o a de do da em no na para com por e ou um uma profissional normalmente canto superior inferior "
     "esquerdo direito imagem pode ser que qual faz parte"
 )
 
 
+def _bases() -> dict[str, str]:
+    """Base letter of each composed letter of the Latin blocks."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base != chr(code):
+            found[chr(code)] = base
+    return found
+
+
+BASES = _bases()
+ACCENTS, PLAIN = "".join(BASES), "".join(BASES.values())
+MARKS = r"\p{Mn}+"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
@@ -63,12 +78,19 @@ def collapse(c: Column) -> Column:
 
 
 def ascii_norm(c: Column) -> Column:
-    low = F.lower(F.translate(F.replace(c, F.lit("_"), F.lit(" ")), ACCENTS, PLAIN))
-    return collapse(F.regexp_replace(F.regexp_replace(low, r"[^\x00-\x7F]", ""), r"[^\w\s]", " "))
+    """Lower-cased words of ASCII letters and digits; composed letters lose their marks, other characters go or part words."""
+    low = F.translate(F.lower(c), ACCENTS + "_", PLAIN + " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\x00-\x7F]+", ""), r"[^a-z0-9]+", " "))
+
+
+def plain_words(text: str) -> str:
+    """ascii_norm of a text of the schema."""
+    low = text.lower().translate(str.maketrans(BASES | {"_": " "}))
+    return "".join(x if x.isalnum() else " " for x in low if x.isascii())
 
 
 def accent_norm(c: Column) -> Column:
-    return collapse(F.lower(F.translate(c, ACCENTS, PLAIN)))
+    return collapse(F.regexp_replace(F.lower(F.translate(c, ACCENTS, PLAIN)), MARKS, ""))
 
 
 def keywords(c: Column, stop: str = STOP, shortest: int = 3) -> Column:
@@ -122,8 +144,44 @@ def truncated(c: Column, n: int) -> Column:
 
 
 def caps_ratio(c: Column) -> Column:
-    letters = F.regexp_count(c, F.lit("[A-Za-zÀ-ÿ]"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit("[A-ZÀ-Þ]")) / letters).otherwise(0.0)
+    """Share of upper-case letters among the letters."""
+    letters = F.regexp_count(c, F.lit(r"\p{L}"))
+    return F.when(letters > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
+
+
+def letter_spacing(c: Column, width: Column) -> Column:
+    """Mean gap between characters, if all take the same share of the width; zero below two characters."""
+    n, solid = F.length(c), F.length(F.regexp_replace(c, r"(?U)\s", ""))
+    gap = (width - width / n * solid) / F.greatest(solid - 1, F.lit(1))
+    return F.when((solid > 1) & (width > 0), gap).otherwise(0.0)
+
+
+def contains_any(c: Column, needles: list[str]) -> Column:
+    """Whether the normalised text contains one of the normalised needles."""
+    low = accent_norm(c)
+    found = [low.contains(accent_norm(F.lit(n))) for n in needles]
+    return F.coalesce(F.greatest(*[x.cast("int") for x in found], F.lit(0), F.lit(0)) > 0, F.lit(False))
+
+
+def first_line(c: Column) -> Column:
+    return strip(F.split_part(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n|\r", "\n"), F.lit("\n"), F.lit(1)))
+
+
+def after_label(c: Column, names: list[str]) -> Column:
+    """What follows the longest of the names that a text contains, without the colon between; null without any."""
+    out = F.lit(None).cast("string")
+    for name in sorted((n.strip() for n in names if n.strip()), key=len):
+        low = name.lower()
+        at = F.instr(F.lower(c), low)
+        rest = F.regexp_replace(F.substring(c, at + len(low), F.length(c)), "^[ :\u200b\t]+", "")
+        out = F.when((at > 0) & (rest != ""), rest).otherwise(out)
+    return out
+
+
+def run_id(at: Column, path: Column) -> Column:
+    """A run's name: its time and the file's name without folder and ending."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), stem)
 
 
 def center_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -1,7 +1,9 @@
-"""Candidates of field values from label positions, their gate, filter and assignment.
+"""Candidates of field values: where they come from, their gate, order, filter and assignment.
 
-Labels and fields meet on shared normalised words first, so only pairs that can
-score are scored; all ranks are windows on the page.
+Fields reach the blocks as a literal of the projection, so blocks and fields
+meet without a join; neighbours are joins within a page, ranks are windows on
+the page. Only the assignment, in which fields may take blocks from each other,
+goes through a page as one value.
 """
 
 from __future__ import annotations
@@ -10,36 +12,169 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text as X
-from pagelattice.operators.matching import small
+from pagelattice.operators.matching import literal, small
+from pagelattice.operators.page import per_page
 
 LABEL_FLOOR = 0.35
 LINE_WEIGHT = 0.85
 LINE_WORDS = 5
 PER_FIELD = 12
 MIN_ASSIGN = 0.60
-# Bonuses and the penalty of the assignment score.
+# Bonuses, the penalty and the factors of the assignment.
 FOOTER, SECTION, SAME_LINE, SAME_ROW = 0.35, 0.15, 0.20, 0.25
-KIND_ORDER = ("enum", "date", "money")
+TAKES_VALUE, TAKES_BLOCK = 1.2, 1.1
+KIND_ORDER = {"enum": 0, "date": 1, "money": 1}
+# Relations from the weakest to the strongest, and how good a place each is.
+RELATIONS = ("semantic", "south_of", "same_block", "same_line", "table_row")
+PLACE = {"same_line": 1.0, "table_row": 0.9, "same_block": 0.85, "south_of": 0.7, "semantic": 0.5}
+# Forms of text that a field's type asks for.
+FORMS_OF_TYPE = {
+    "date": ("date_like",),
+    "money": ("money_like", "digits_with_separators"),
+    "int": ("digits_only", "digits_with_separators"),
+    "float": ("digits_only", "digits_with_separators", "money_like"),
+    "percent": ("digits_with_separators", "digits_only"),
+    "uf": ("isolated_letters",),
+    "cep": ("digits_only", "digits_with_separators"),
+    "cpf": ("digits_only", "digits_with_separators"),
+    "cnpj": ("digits_only", "digits_with_separators"),
+    "phone_br": ("digits_only", "digits_with_separators"),
+    "alphanum_code": ("alphanumeric", "digits_with_separators"),
+    "text": ("text", "alphanumeric"),
+    "enum": ("text", "isolated_letters"),
+}
+DEFAULT_FORMS = ("text",)
+# Other names of fields by a part of their name.
+OTHER_NAMES = {
+    "inscri": ("inscricao", "inscrição", "nº oab", "n.oab", "numero oab", "registro"),
+    "registro": ("inscricao", "inscrição", "nº oab", "n.oab", "numero oab", "registro"),
+    "seccional": ("seccional", "uf", "conselho"),
+    "nome": ("nome", "name"),
+}
+#: Settings of a matching run and their defaults.
+SETTINGS = {
+    "prefer_same_column_bonus": 0.08,
+    "prefer_same_section_bonus": 0.05,
+    "prefer_same_paragraph_bonus": 0.03,
+    "cross_column_penalty": 0.06,
+    "cross_section_penalty": 0.04,
+    "relation_weight_same_table_row": 0.85,
+    "prefer_same_row_bonus": 0.12,
+    "prefer_same_col_bonus": 0.06,
+    "cross_row_penalty": 0.06,
+    "cross_col_penalty": 0.04,
+    "use_assignment": False,
+    "assignment": {"alpha": 0.7, "beta": 0.3, "topk": 6, "null_score": 0.35, "use_sinkhorn": True, "reg": 0.05},
+}
+
+
+def settings(*loaded: dict | None) -> dict:
+    """The defaults with what each loaded part sets, later ones first in say."""
+    out = dict(SETTINGS)
+    for part in loaded:
+        out |= part or {}
+    return out
+
+
+def names_of(name: str, given: tuple[str, ...] = ()) -> list[str]:
+    """The names that a field goes by: those given, else its own and those of its kind, each once without accents."""
+    if any(g.strip() for g in given):
+        return [g.lower().strip() for g in given if g.strip()]
+    own = X.BASES
+    plain = lambda s: " ".join(s.translate(str.maketrans(own)).lower().split())
+    every = [name, *[other for part, others in OTHER_NAMES.items() if part in plain(name) for other in others]]
+    return list(dict.fromkeys(map(plain, every)))
+
+
+def form(c: Column) -> Column:
+    """What a text is made of."""
+    t = X.strip(c)
+    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
+    return (
+        F.when(t.rlike(X.DATE), "date_like")
+        .when(t.rlike(r"^(?:R\s*\$|US\s*\$|[$€£])\s*\d") | t.rlike(r"^\d{1,3}(?:\.\d{3})*,\d{2}$"), "money_like")
+        .when(t.rlike(r"^\d+$"), "digits_only")
+        .when(t.rlike(r"^[\d\s.,/()+-]+$") & (digits > 0), "digits_with_separators")
+        .when(t.rlike(r"^\p{L}{1,3}$"), "isolated_letters")
+        .when(t.rlike(r"^\S+$") & t.rlike(r"\d") & t.rlike(r"\p{L}"), "alphanumeric")
+        .otherwise("text")
+    )
+
+
+def form_fits(c: Column, kind: Column) -> Column:
+    """Whether a text has a form that a type asks for; types without a list ask for text."""
+    listed = F.create_map(*[x for k, v in FORMS_OF_TYPE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    wanted = F.coalesce(F.element_at(listed, F.coalesce(kind, F.lit("text"))), F.array(*map(F.lit, DEFAULT_FORMS)))
+    return (X.strip(c) != "") & F.array_contains(wanted, form(c))
+
+
+def _field_names(fields: DataFrame) -> Column:
+    return literal(fields.select(F.col("name").alias("field"), F.replace("name", F.lit("_"), F.lit(" ")).alias("f")))
 
 
 def label_blocks(blocks: DataFrame, fields: DataFrame, least: float = LABEL_FLOOR) -> DataFrame:
     """doc_id, block_id, field, score: blocks whose text, or one short line of it, is like a field's name."""
-    f = small(fields.select(F.col("name").alias("field"), F.replace("name", F.lit("_"), F.lit(" ")).alias("f")))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), F.lit(LINE_WEIGHT).alias("w")))
     short = F.filter(lines, lambda x: F.size(F.split(F.trim(x["t"]), r"\s+")) <= LINE_WORDS)
     every = F.concat(F.array(F.struct(F.col("text").alias("t"), F.lit(1.0).alias("w"))), short)
     rows = blocks.select("doc_id", "block_id", F.explode(every).alias("x")).select("doc_id", "block_id", X.strip(F.col("x.t")).alias("t"), F.col("x.w").alias("w"))
     rows = rows.withColumn("t", F.regexp_replace("t", ":+$", "")).filter("t <> ''")
-    scored = rows.crossJoin(f).withColumn("score", X.label_score(F.col("t"), F.col("f"), least) * F.col("w"))
+    rows = rows.withColumn("x", F.explode(_field_names(fields))).select("doc_id", "block_id", "t", "w", "x.*")
+    scored = rows.withColumn("score", X.label_score(F.col("t"), F.col("f"), least) * F.col("w"))
     return scored.filter(F.col("score") >= least).groupBy("doc_id", "block_id", "field").agg(F.max("score").alias("score"))
 
 
-def spatial_candidates(blocks: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
-    """doc_id, field, block_id, relation, score: blocks right of a field's best labels in their line, or below in their column."""
+def label_priority(blocks: DataFrame, fields: DataFrame, least: float = 0.6) -> DataFrame:
+    """doc_id, block_id, field, priority, rank: label blocks, short ones of large type first, those of many lines last."""
+    rows = blocks.filter("text <> ''").withColumn("x", F.explode(_field_names(fields)))
+    font = F.coalesce(F.col("font_size"), F.lit(0.0)) if "font_size" in blocks.columns else F.lit(0.0)
+    score = X.label_score(F.col("text"), F.col("x.f"), least)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    raised = score / (1.0 + F.length("text") * 0.01) + font * 0.01
+    rows = rows.withColumn("score", score).filter("score > 0").withColumn("priority", raised * F.when(n_lines > 3, 0.5).otherwise(1.0))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "x.field").orderBy(F.desc("priority"), "block_id"))
+    return rows.select("doc_id", "block_id", F.col("x.field").alias("field"), "priority", rank.alias("rank"))
+
+
+def position_candidates(blocks: DataFrame, hints: DataFrame) -> DataFrame:
+    """doc_id, field, block_id, relation, score: blocks towards the corner that a field's hint names.
+
+    hints: field, hint, with top or bottom and left or right in it. The page ends
+    where its blocks do.
+    """
+    page = Window.partitionBy("doc_id")
+    b = blocks.withColumns({"wide": F.max("x1").over(page), "high": F.max("y1").over(page), "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    b = b.withColumn("h", F.explode(literal(hints.select("field", F.lower("hint").alias("hint")))))
+    hint = F.col("h.hint")
+
+    def along(c: str, size: str, low: str, high: str) -> tuple[Column, Column]:
+        near = F.col(c) / (F.col(size) * 0.5)
+        inside = F.when(hint.contains(low), F.col(c) < F.col(size) * 0.55).when(hint.contains(high), F.col(c) >= F.col(size) * 0.45)
+        return inside, F.when(hint.contains(low), 1 - near).otherwise(near - 1)
+
+    in_x, by_x = along("cx", "wide", "left", "right")
+    in_y, by_y = along("cy", "high", "top", "bottom")
+    out = b.withColumn("score", (by_x + by_y) / 2).filter(F.coalesce(in_x & in_y, F.lit(False)) & (F.col("score") > 0.3))
+    return out.select("doc_id", F.col("h.field").alias("field"), "block_id", F.lit("position_based").alias("relation"), "score")
+
+
+def _best_labels(labels: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("doc_id", "field").orderBy(F.desc("score"), "block_id")
-    best = labels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
+    return labels.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r").withColumnRenamed("block_id", "l_id")
+
+
+def table_candidates(labels: DataFrame, cells: DataFrame, top: int = 3) -> DataFrame:
+    """doc_id, field, block_id, relation, score: the other cells in the table rows of a field's best labels."""
+    at = cells.select("doc_id", "table_id", "row", "col", F.col("token_id").alias("block_id"))
+    own = _best_labels(labels, top).join(at.select("doc_id", F.col("block_id").alias("l_id"), "table_id", "row", F.col("col").alias("l_col")), ["doc_id", "l_id"])
+    found = own.join(at, ["doc_id", "table_id", "row"]).filter("col <> l_col")
+    return found.select("doc_id", "field", "block_id", F.lit("table_row").alias("relation"), "score")
+
+
+def spatial_candidates(blocks: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
+    """doc_id, field, block_id, relation, score, far: blocks right of a field's best labels in their line, or below in their column."""
     box = blocks.select("doc_id", F.col("block_id").alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    own = best.withColumnRenamed("block_id", "l_id").join(box, ["doc_id", "l_id"])
+    own = _best_labels(labels, top).join(box, ["doc_id", "l_id"])
     pairs = own.join(blocks.select("doc_id", "block_id", "x0", "y0", "x1", "y1"), "doc_id").filter("block_id <> l_id")
     level = F.least("y1", "l_y1") - F.greatest("y0", "l_y0") > 0
     column = F.least("x1", "l_x1") - F.greatest("x0", "l_x0") > 0
@@ -50,8 +185,84 @@ def spatial_candidates(blocks: DataFrame, labels: DataFrame, top: int = 5) -> Da
     return found.withColumn("r", F.row_number().over(near)).filter("r = 1").select("doc_id", "field", "block_id", "relation", "score", "far")
 
 
-def distinct_candidates(*parts: DataFrame) -> DataFrame:
-    """One candidate for each block and relation of a field, the first part's; at most PER_FIELD by score."""
+def same_block_candidates(blocks: DataFrame, labels: DataFrame, fields: DataFrame, top: int = 5) -> DataFrame:
+    """doc_id, field, block_id, relation, score, text: what follows the label in a block of several lines or after its colon."""
+    named = fields.select(F.col("name").alias("field"), F.lower(F.replace("name", F.lit("_"), F.lit(" "))).alias("f"))
+    own = _best_labels(labels, top).join(blocks.select("doc_id", F.col("block_id").alias("l_id"), "text"), ["doc_id", "l_id"]).join(named, "field")
+    at = F.instr(F.lower("text"), F.col("f"))
+    rest = F.regexp_replace(F.substring(F.col("text"), at + F.length("f"), F.length("text")), r"^[\s:]+", "")
+    found = own.withColumn("rest", X.strip(rest)).filter((at > 0) & (F.col("rest") != ""))
+    return found.select("doc_id", "field", F.col("l_id").alias("block_id"), F.lit("same_block").alias("relation"), "score", F.col("rest").alias("text"))
+
+
+def form_candidates(blocks: DataFrame, kinds: DataFrame, footers: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, block_id, relation: blocks of a form that a field's type asks for, without repeated footers.
+
+    kinds: field, kind; footers: doc_id, block_id.
+    """
+    b = blocks.join(footers.select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_anti") if footers is not None else blocks
+    b = b.withColumn("k", F.explode(literal(kinds.select("field", "kind")))).filter(form_fits(F.col("text"), F.col("k.kind")))
+    out = b.select("doc_id", F.col("k.field").alias("field"), "block_id")
+    if cells is None:
+        return out.withColumn("relation", F.lit("pattern_scan"))
+    inside = cells.select("doc_id", F.col("token_id").alias("block_id"), F.lit("in_table").alias("_in")).distinct()
+    return out.join(inside, ["doc_id", "block_id"], "left").select("doc_id", "field", "block_id", F.coalesce("_in", F.lit("pattern_scan")).alias("relation"))
+
+
+def enum_candidates(blocks: DataFrame, options: DataFrame) -> DataFrame:
+    """doc_id, field, block_id, relation: blocks that contain one of a field's options, or are part of one, whatever the case and accents.
+
+    options: field, option.
+    """
+    plain = lambda c: F.regexp_replace(F.translate(F.upper(c), X.ACCENTS, X.PLAIN), r"[^\x00-\x7F]", "")
+    side = options.groupBy("field").agg(F.sort_array(F.collect_set(plain(F.col("option")))).alias("options"))
+    t = blocks.withColumn("p", plain(F.coalesce("text", F.lit("")))).withColumn("o", F.explode(literal(side)))
+    hit = F.exists(F.col("o.options"), lambda x: F.col("p").contains(x) | x.contains(F.col("p")))
+    return t.filter(hit).select("doc_id", F.col("o.field").alias("field"), "block_id", F.lit("global_enum_scan").alias("relation"))
+
+
+def repeated_blocks(blocks: DataFrame, share: float = 0.5) -> DataFrame:
+    """doc_id, block_id: blocks whose text is on so many of all pages that it belongs to none; a text counts once a page."""
+    pages = blocks.select("doc_id").distinct().count()
+    often = blocks.select("doc_id", F.xxhash64("text").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > pages * share)
+    return blocks.withColumn("h", F.xxhash64("text")).join(often, "h", "left_semi").select("doc_id", "block_id")
+
+
+def text_window(text: Column, relation: Column) -> Column:
+    """What of a block's text a relation points at: all of it in its own block or in a table, else its first line."""
+    return F.when(relation.isin("same_block", "table_row", "same_table_row"), text).otherwise(X.first_line(text))
+
+
+def score_tuple(c: dict[str, Column]) -> Column:
+    """The order of candidates as a struct, the largest first: sufficient, relation, type, style, component, place, memory, meaning.
+
+    c: text, kind, relation, label_font_z, font_z, label_component, component, memory (auto, hints or null), cosine.
+    """
+    relation, kind = c["relation"], c["kind"]
+    typed = form_fits(c["text"], kind)
+    rank = F.lit(0)
+    for i, name in enumerate(RELATIONS):
+        rank = F.when(relation == name, i).otherwise(rank)
+    long = (kind != "enum") & (F.length(X.strip(c["text"])) >= 4)
+    enough = typed & (relation.isin("table_row", "same_line") | ((relation == "same_block") & F.coalesce(long, F.lit(True))))
+    place = F.lit(PLACE["semantic"])
+    for name, good in PLACE.items():
+        place = F.when(relation == name, good).otherwise(place)
+    yes = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    return F.struct(
+        yes(enough).alias("sufficient"),
+        rank.alias("relation_rank"),
+        yes(typed).alias("type_gate"),
+        yes(F.abs(c["label_font_z"] - c["font_z"]) <= 0.5).alias("style"),
+        yes(c["label_component"] == c["component"]).alias("same_component"),
+        place.alias("place"),
+        F.when(c["memory"] == "auto", 2).when(c["memory"] == "hints", 1).otherwise(0).alias("memory"),
+        F.when(relation == "semantic", F.floor(F.coalesce(c["cosine"], F.lit(0.0)) * 10)).otherwise(0).cast("int").alias("meaning"),
+    )
+
+
+def distinct_candidates(*parts: DataFrame, per_field: int = PER_FIELD) -> DataFrame:
+    """One candidate for each block and relation of a field, the first part's; of a field the best per_field by score."""
     out = None
     for i, p in enumerate(parts):
         p = p.withColumn("part", F.lit(i))
@@ -59,7 +270,12 @@ def distinct_candidates(*parts: DataFrame) -> DataFrame:
     one = Window.partitionBy("doc_id", "field", "block_id", "relation").orderBy("part", F.desc("score"))
     top = Window.partitionBy("doc_id", "field").orderBy(F.desc("score"), "part", "block_id", "relation")
     out = out.withColumn("_r", F.row_number().over(one)).filter("_r = 1")
-    return out.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= PER_FIELD).drop("_r", "part")
+    return out.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= per_field).drop("_r", "part")
+
+
+def gated(candidates: DataFrame) -> DataFrame:
+    """Candidates whose text has a form that their field's type asks for."""
+    return candidates.filter(form_fits(F.col("text"), F.col("kind")))
 
 
 def pareto(candidates: DataFrame, more: tuple[str, ...], less: tuple[str, ...] = ()) -> DataFrame:
@@ -86,20 +302,56 @@ def adjusted_score(score: Column, gate: Column, footer: Column, section: Column,
     return F.when(~gate, -1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raised)))
 
 
+def assigned_page(rows: list[dict], least: float = MIN_ASSIGN) -> list[dict]:
+    """One page's fields, by kind and name, each with its best candidate that others leave it.
+
+    A value that another field has is taken only by a field of its kind that
+    scores TAKES_VALUE times as much, a block by one that scores TAKES_BLOCK
+    times as much, whose former holder is left without.
+    """
+    kinds = {r["field"]: r["kind"] for r in rows}
+    by_kind = lambda f: (KIND_ORDER.get(kinds[f], len(KIND_ORDER)), f)
+    plain = lambda r: " ".join((r["text"] or "").lower().split())
+    picks: dict[str, dict] = {}
+    for name in sorted(kinds, key=by_kind):
+        for c in sorted((r for r in rows if r["field"] == name and r["score"] > 0), key=lambda r: (-r["score"], r["block_id"])):
+            same = [f for f, o in picks.items() if plain(c) and plain(o) == plain(c) and o["block_id"] != c["block_id"]]
+            if any(kinds[f] != kinds[name] or c["score"] <= picks[f]["score"] * TAKES_VALUE for f in same):
+                continue
+            holder = next((f for f, o in picks.items() if o["block_id"] == c["block_id"]), None)
+            if holder is not None:
+                if c["score"] <= picks[holder]["score"] * TAKES_BLOCK:
+                    continue
+                del picks[holder]
+            picks[name] = c
+            break
+    return [{"field": f, "block_id": c["block_id"], "score": c["score"]} for f, c in picks.items() if c["score"] >= least]
+
+
 def assign(candidates: DataFrame, least: float = MIN_ASSIGN) -> DataFrame:
-    """doc_id, field, block_id, score: fields in order of kind take their best free block.
+    """doc_id, field, block_id, score of the fields that get a block.
 
-    candidates: doc_id, field, kind, block_id, score. A page's candidates fold in one row.
+    candidates: doc_id, field, kind, block_id, score and, to tell equal values, text.
     """
-    order = F.lit(len(KIND_ORDER))
-    for i, k in reversed(list(enumerate(KIND_ORDER))):
-        order = F.when(F.col("kind") == k, i).otherwise(order)
-    rows = candidates.filter(F.col("score") >= least)
-    c = F.struct(order.alias("o"), "field", (-F.col("score")).alias("s"), "block_id")
-    pages = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(c)).alias("c"))
-    fold = F.expr(
-        """aggregate(c, cast(array() as array<struct<field: string, block_id: int, score: double>>),
-           (a, x) -> if(exists(a, y -> y.field = x.field or y.block_id = x.block_id), a,
-                        concat(a, array(struct(x.field as field, cast(x.block_id as int) as block_id, cast(-x.s as double) as score)))))"""
-    )
-    return pages.select("doc_id", F.inline(fold))
+    text = F.col("text").cast("string") if "text" in candidates.columns else F.lit(None).cast("string")
+    one = F.struct("field", "kind", F.col("block_id").cast("int").alias("block_id"), F.col("score").cast("double").alias("score"), text.alias("text"))
+    pages = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    work = lambda p: {"doc_id": p["doc_id"], "a": assigned_page(p["c"], least)}
+    return per_page(pages, work, "doc_id bigint, a array<struct<field: string, block_id: int, score: double>>").select("doc_id", F.inline("a"))
+
+
+def match_fields(blocks: DataFrame, fields: DataFrame, kinds: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, block_id, score: candidates from labels, tables and places, gated, filtered and assigned.
+
+    kinds: field, kind.
+    """
+    labels = label_blocks(blocks, fields)
+    parts = [table_candidates(labels, cells)] if cells is not None else []
+    parts += [spatial_candidates(blocks, labels)]
+    found = distinct_candidates(*parts).join(blocks.select("doc_id", "block_id", "text"), ["doc_id", "block_id"])
+    found = gated(found.join(small(kinds), "field"))
+    rank = F.when(F.col("relation") == "table_row", 2).when(F.col("relation") == "same_line", 1).otherwise(0)
+    found = pareto(found.withColumns({"far": F.coalesce("far", F.lit(0.0)), "rank": rank}), ("score", "rank"))
+    no = F.lit(False)
+    score = adjusted_score(F.col("score") * 0.7, F.lit(True), no, no, F.col("relation") == "same_line", F.col("relation") == "table_row")
+    return assign(found.withColumn("score", score))

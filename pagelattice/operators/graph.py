@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.storage import shared_dir
@@ -188,20 +188,11 @@ def label_value_text(tokens: DataFrame, e: DataFrame, roles: DataFrame) -> DataF
     return tokens.join(v, ["doc_id", "token_id"]).select("doc_id", "token_id", both.alias("text"))
 
 
-def paths(e: DataFrame, depth: int = 8) -> DataFrame:
-    """doc_id, token_id, path: the longest forward path from each token, east before south.
-
-    Out-edges are two at most, so following east, else south, is a walk of
-    single steps; each step is one equi-join on the page.
-    """
-    step = e.groupBy("doc_id", "from_id").agg(F.min(F.struct((F.col("relation") != "east").cast("int").alias("s"), "to_id"))["to_id"].alias("nxt"))
-    out = step.select("doc_id", F.col("from_id").alias("token_id"), F.array("from_id", "nxt").alias("path"))
-    for _ in range(depth - 2):
-        nxt = step.select("doc_id", F.col("from_id").alias("last"), "nxt")
-        out = out.withColumn("last", F.element_at("path", -1)).join(nxt, ["doc_id", "last"], "left")
-        grow = F.col("nxt").isNotNull() & ~F.array_contains("path", F.col("nxt"))
-        out = out.select("doc_id", "token_id", F.when(grow, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"))
-    return out
+def prefixes(texts: Column) -> Column:
+    """The texts of a path joined, then without the last, and so on to the first alone; blank ones left out, each string once."""
+    full = F.filter(texts, lambda x: x != "")
+    shorter = F.transform(F.sequence(F.size(full), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(full, 1, k), " "))
+    return F.when(F.size(full) > 0, F.array_distinct(shorter)).otherwise(F.array().cast("array<string>"))
 
 
 def corners(e: DataFrame) -> DataFrame:

@@ -1,20 +1,24 @@
 """Fields against tokens: exact, partial, typed and vector matches, and tie-breaks.
 
-Fields are few and are broadcast after a check of their number; tokens are never
-gathered, and each match is a row.
+Fields are few, and their number is checked: they reach the tokens as a literal
+of the projection, or by a join on words. Tokens are never gathered, and each
+match is a row.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelattice.functions import hints as H
 from pagelattice.functions import text as X
+from pagelattice.functions import vectors as V
 from pagelattice.operators.graph import materialized
 
 # Words that a field's pattern leaves out.
@@ -30,6 +34,15 @@ SCORES_AT_ONCE = 2_000_000
 SCALE = 1_000_000
 
 
+def literal(rows: DataFrame) -> Column:
+    """The rows of a schema side as an array for explode; at most MAX_FIELDS."""
+    found = rows.limit(MAX_FIELDS + 1).collect()
+    if len(found) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} rows of a schema")
+    kind = T.ArrayType(rows.schema)
+    return F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in found])), kind)
+
+
 def small(fields: DataFrame) -> DataFrame:
     """The schema side, broadcast when it is as small as a schema should be."""
     return F.broadcast(fields) if fields.limit(MAX_FIELDS + 1).count() <= MAX_FIELDS else fields
@@ -43,11 +56,14 @@ def prepared(fields: DataFrame) -> DataFrame:
 
 
 def word_overlap(tokens: DataFrame, fields: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """doc_id, field, token_id, overlap: share of a field's words that a token has."""
-    f = small(prepared(fields).select(F.col("name").alias("field"), "f_overlap").filter(F.size("f_overlap") > 0))
-    t = tokens.select("doc_id", "token_id", X.keywords(F.col("text")).alias("t_words")).filter(F.size("t_words") > 0)
-    share = F.size(F.array_intersect("f_overlap", "t_words")) / F.size("f_overlap")
-    return t.crossJoin(f).withColumn("overlap", share).filter(F.col("overlap") >= least).select("doc_id", "field", "token_id", "overlap")
+    """doc_id, field, token_id, overlap: share of a field's words that a token has.
+
+    Words join words, so a token meets only the fields that share one with it.
+    """
+    p = prepared(fields).select(F.col("name").alias("field"), F.explode("f_overlap").alias("word"), F.size("f_overlap").alias("n"))
+    t = tokens.select("doc_id", "token_id", F.explode(X.keywords(F.col("text"))).alias("word"))
+    met = t.join(small(p), "word").groupBy("doc_id", "field", "token_id").agg((F.count("*") / F.first("n")).alias("overlap"))
+    return met.filter(F.col("overlap") >= least)
 
 
 def regex_perfect(tokens: DataFrame, fields: DataFrame) -> DataFrame:
@@ -60,15 +76,25 @@ def regex_perfect(tokens: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def regex_partial(tokens: DataFrame, fields: DataFrame) -> DataFrame:
-    """doc_id, field, token_id, score: texts that contain a field's name or words, by the share matched."""
-    f = small(prepared(fields).select(F.col("name").alias("field"), "f_name", "f_text", "f_words"))
+    """doc_id, field, token_id, score: texts that contain a field's name or words, by the share matched.
+
+    Of several words inside, the one that comes first counts.
+    """
+    own_words = X.keywords(F.col("description"), FIELD_STOP)
+    f = literal(prepared(fields).select(F.col("name").alias("field"), "f_name", "f_text", "f_words", own_words.alias("d_words")))
     t = tokens.select("doc_id", "token_id", X.ascii_norm(F.col("text")).alias("t")).filter("t <> ''")
+    t = t.withColumn("f", F.explode(f)).select("doc_id", "token_id", "t", "f.*")
     inside = lambda c: F.when((c != "") & F.col("t").contains(c), F.length(c)).otherwise(0)
-    words = F.coalesce(F.array_max(F.transform("f_words", lambda w: F.when(F.col("t").contains(w), F.length(w)).otherwise(0))), F.lit(0))
+    words = F.greatest(leftmost(F.col("t"), F.col("f_words")), leftmost(F.col("t"), F.col("d_words")))
     score = F.greatest(inside(F.col("f_name")), inside(F.col("f_text")), words) / F.length("t") * PARTIAL
     own = (F.col("t") == F.col("f_name")) | (F.col("t") == F.col("f_text")) | F.array_contains("f_words", F.col("t"))
-    out = t.crossJoin(f).filter(~own).withColumn("score", score)
-    return out.filter(F.col("score") >= FLOOR).select("doc_id", "field", "token_id", "score")
+    return t.filter(~own).withColumn("score", score).filter(F.col("score") >= FLOOR).select("doc_id", "field", "token_id", "score")
+
+
+def leftmost(text: Column, words: Column) -> Column:
+    """Length of the word that occurs first in a text, of those at one place the first listed; 0 without any."""
+    at = F.filter(F.transform(words, lambda w, i: F.struct(F.instr(text, w).alias("at"), i.alias("i"), F.length(w).alias("n"))), lambda x: x["at"] > 0)
+    return F.coalesce(F.array_min(at)["n"], F.lit(0))
 
 
 def pattern_score(role: Column, priority: Column) -> Column:
@@ -83,18 +109,41 @@ def pattern_matches(tokens: DataFrame, name: str, description: str, registry: H.
     specific detectors reject is out; the general one counts only without any.
     """
     r = registry or H.Registry()
-    use = r.specific(name, description) or r.relevant(name, description)
-    hint = F.lit(None).cast("struct<hint: string, priority: int, value: string>")
-    for h in reversed(use):
-        found = F.struct(F.lit(h.name).alias("hint"), F.lit(h.priority).alias("priority"), F.coalesce(h.extract(F.col("text")), F.col("text")).alias("value"))
-        hint = F.when(h.detect(F.col("text")), found).otherwise(hint)
-    out = tokens.withColumn("m", hint).filter("m is not null")
+    out = tokens.withColumn("m", accepted(F.col("text"), r.specific(name, description) or r.relevant(name, description))).filter("m is not null")
     return out.select("doc_id", "token_id", F.col("m.hint").alias("hint"), F.col("m.value").alias("value"), F.round(pattern_score(F.col("role"), F.col("m.priority")), 6).alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of unit vectors."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def accepted(text: Column, hints: list[H.Hint], value: Column | None = None) -> Column:
+    """hint, priority and value of the first detector that takes a text; the value is taken from another text if one is given."""
+    source = text if value is None else value
+    hint = F.lit(None).cast("struct<hint: string, priority: int, value: string>")
+    for h in reversed(hints):
+        found = F.struct(F.lit(h.name).alias("hint"), F.lit(h.priority).alias("priority"), F.coalesce(h.extract(source), source).alias("value"))
+        hint = F.when(h.detect(text), found).otherwise(hint)
+    return hint
+
+
+def label_pattern_matches(pairs: DataFrame, name: str, description: str, registry: H.Registry | None = None) -> DataFrame:
+    """As pattern_matches, for values with their labels: a value that none takes counts, a tenth higher, if one takes it with its label and its own text.
+
+    pairs: doc_id, token_id, role, text, label (null without one).
+    """
+    r = registry or H.Registry()
+    use = r.specific(name, description) or r.relevant(name, description)
+    both = F.concat_ws(" ", F.regexp_replace("label", r"\s*:\s*$", ""), "text")
+    alone, joint = accepted(F.col("text"), use), accepted(both, use, F.col("text"))
+    own = F.lit(False)
+    for h in use:
+        own = own | ((joint["hint"] == h.name) & h.detect(F.col("text")))
+    m = pairs.withColumn("m", F.coalesce(alone, F.when(F.col("label").isNotNull() & own, joint))).withColumn("raised", alone.isNull())
+    score = F.least(F.lit(1.0), pattern_score(F.col("role"), F.col("m.priority")) + F.when(F.col("raised"), 0.1).otherwise(0.0))
+    return m.filter("m is not null").select("doc_id", "token_id", F.col("m.hint").alias("hint"), F.col("m.value").alias("value"), F.round(score, 6).alias("score"))
+
+
+def names(tokens: DataFrame, column: str = "text") -> DataFrame:
+    """Tokens whose text looks like a name and not like an address."""
+    c = F.col(column)
+    return tokens.filter(H.BY_NAME["name"].detect(c) & ~H.BY_NAME["address"].detect(c))
 
 
 def _block_topk(vectors: DataFrame, block: pa.Table, k: int, least: float) -> DataFrame:
@@ -159,12 +208,20 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, least: fl
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def type_classifier(vectors: DataFrame, prototypes: DataFrame, least: float = 0.45) -> DataFrame:
-    """vec_id, kind, similarity: the most similar prototype of each vector, if similar enough."""
-    p = small(prototypes)
-    scored = vectors.select("vec_id", "embedding").crossJoin(p).select("vec_id", "kind", F.round(cosine(F.col("embedding"), F.col("prototype")), 6).alias("similarity"))
-    best = scored.groupBy("vec_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "kind")).alias("b"))
-    return best.select("vec_id", F.col("b.kind").alias("kind"), (-F.col("b.s")).alias("similarity")).filter(F.col("similarity") >= least)
+#: Types of a lower priority need a similarity of CLEAR.
+LEAST, CLEAR, HIGH_PRIORITY = 0.45, 0.55, 5
+
+
+def type_classifier(vectors: DataFrame, prototypes: DataFrame, least: float = LEAST) -> DataFrame:
+    """vec_id, kind, similarity: the most similar prototype of each vector, if similar enough.
+
+    prototypes: kind, prototype, and priority if kinds of low priority have to be clearer than others.
+    """
+    p = literal(prototypes.orderBy("kind"))
+    weight = lambda x: x["priority"] if "priority" in prototypes.columns else F.lit(HIGH_PRIORITY)
+    scored = F.transform(p, lambda x: F.struct((-F.round(V.dot(F.col("embedding"), x["prototype"]), 6)).alias("s"), x["kind"].alias("kind"), weight(x).alias("w")))
+    out = vectors.select("vec_id", F.array_min(scored).alias("b")).select("vec_id", F.col("b.kind").alias("kind"), (-F.col("b.s")).alias("similarity"), "b.w")
+    return out.filter((F.col("similarity") >= least) & ((F.col("w") >= HIGH_PRIORITY) | (F.col("similarity") >= CLEAR))).drop("w")
 
 
 def tied(matches: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -173,14 +230,18 @@ def tied(matches: DataFrame, threshold: float = 0.05) -> DataFrame:
     return matches.withColumn("_top", top).filter(F.col("score") > F.col("_top") - threshold).drop("_top")
 
 
-def heuristic_score(role: Column, degree: Column, x: Column, y: Column, length: Column, has_label: Column) -> Column:
-    """Weighted sum of role, isolation, position, length and label relation."""
+def heuristic_score(role: Column, alone: Column, x: Column, y: Column, length: Column, label_far: Column) -> Column:
+    """Weighted sum of role, isolation, position of the centre, length and distance of the label.
+
+    alone: whether a header leads to no value; label_far: a value's distance from its label, null without one.
+    """
     by_role = F.when(role == "VALUE", 1.0).when(role == "HEADER", 0.7).when(role == "LABEL", 0.3).otherwise(0.0)
-    alone = F.when(role == "HEADER", F.when(degree == 0, 1.0).otherwise(0.3)).otherwise(0.0)
-    place = 1.0 - (y + x) / 2.0
+    isolated = F.when(role == "HEADER", F.when(alone, 1.0).otherwise(0.3)).otherwise(0.0)
+    place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - (y + x) / 2.0))
     size = F.when(length.between(3, 50), 1.0).when(length < 3, 0.7).when(length <= 100, 0.8).otherwise(0.5)
-    near = F.when(role == "VALUE", F.when(has_label, 0.9).otherwise(0.4)).otherwise(0.5)
-    return by_role * 0.4 + alone * 0.2 + place * 0.2 + size * 0.1 + near * 0.1
+    by_distance = F.when(label_far < 0.1, 1.0).when(label_far < 0.3, 0.9).when(label_far < 0.5, 0.7).when(label_far.isNotNull(), 0.5).otherwise(0.4)
+    near = F.when(role == "VALUE", by_distance).otherwise(0.5)
+    return by_role * 0.4 + isolated * 0.2 + place * 0.2 + size * 0.1 + near * 0.1
 
 
 # Texts of controls, which are no values.
@@ -196,11 +257,11 @@ def quality_gate(text: Column, degree: Column) -> Column:
     control = F.lit(False)
     for c in CONTROLS.split("|"):
         control = control | low.contains(c)
-    return (X.strip(text) != "") & ~control & (degree >= 2) & ~text.rlike(r"^\d+\s+[A-Z]")
+    return (X.strip(text) != "") & ~control & (degree >= 2) & ~X.strip(text).rlike(r"^\d+\s+[A-Z]")
 
 
 def type_gate(text: Column, kind: Column) -> Column:
-    """Whether a text can be of an expected type; unknown types accept all."""
+    """Whether a text can be of an expected type; types without a form, and none, accept all."""
     digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
     return (
         F.when(kind == "date", text.rlike(X.DATE))
@@ -208,6 +269,6 @@ def type_gate(text: Column, kind: Column) -> Column:
         .when(kind == "phone", text.rlike(r"[\d\s()\-+]{8,}") & (digits >= 8))
         .when(kind == "email", X.strip(text).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"))
         .when(kind == "cpf_cnpj", text.rlike(r"\d{11}|\d{14}|\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}"))
-        .when(kind == "number", text.rlike(r"\d"))
+        .when(kind == "number", X.strip(text).rlike(r"^\d+(?:[.,]\d+)?$"))
         .otherwise(True)
     )

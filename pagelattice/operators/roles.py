@@ -15,6 +15,7 @@ from pagelattice.operators import graph
 TOP = 0.20
 LARGE = 1.2
 DEFAULT_FONT = 12.0
+FOOT = 0.95
 
 
 def _around(tokens: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,16 +37,19 @@ def header_preservation(tokens: DataFrame) -> DataFrame:
     """Large text in the top fifth that is no number and ends in no separator is a header."""
     mean = F.coalesce(F.avg("font_size").over(Window.partitionBy("doc_id")), F.lit(DEFAULT_FONT))
     c = F.col("text")
-    header = (F.col("y0") < TOP) & (F.col("font_size") >= mean * LARGE) & ~X.ends_with_separator(c) & ~X.is_number(c)
+    size = F.col("font_size")
+    several = F.size(F.split(X.strip(c), r"\s+")) >= 2
+    header = (F.col("y0") < TOP) & ((size >= mean * LARGE) | ((size > mean) & several)) & ~X.ends_with_separator(c) & ~X.is_number(c) & (X.strip(c) != "")
     return tokens.select("doc_id", "token_id", F.when(header, "HEADER").otherwise(F.col("role")).alias("role"))
 
 
 def date_label_cleanup(tokens: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels next to a date and to no code, without colon or separator or a link to a value, lose their role."""
-    linked = links.select("doc_id", F.col("label_id").alias("token_id"), F.lit(True).alias("linked")).distinct()
+    """Labels next to a date and to no code, without interior colon, separator or a link to that date, lose their role."""
+    dates = tokens.filter(X.is_date(F.col("text"))).select("doc_id", F.col("token_id").alias("value_id"))
+    linked = links.join(dates, ["doc_id", "value_id"], "left_semi").select("doc_id", F.col("label_id").alias("token_id"), F.lit(True).alias("linked")).distinct()
     t = _around(tokens, edges).join(linked, ["doc_id", "token_id"], "left")
     c = F.col("text")
-    bare = (F.col("role") == "LABEL") & F.col("near_date") & ~F.col("near_code") & ~c.contains(":") & ~X.ends_with_separator(c) & F.col("linked").isNull()
+    bare = (F.col("role") == "LABEL") & F.col("near_date") & ~F.col("near_code") & ~X.colon_in_middle(c) & ~X.ends_with_separator(c) & F.col("linked").isNull()
     return t.select("doc_id", "token_id", F.when(~F.coalesce(bare, F.lit(False)), F.col("role")).alias("role"))
 
 
@@ -61,23 +65,29 @@ def isolated_short_text(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     t = _around(tokens, edges)
     c = F.col("text")
     short = (F.size(F.split(X.strip(c), r"\s+")) <= 2) & ~c.rlike(r"\d") & ~X.ends_with_separator(c)
-    header = (F.col("role").isNull() | (F.col("role") == "VALUE")) & (F.col("n_near") <= 1) & short & (F.col("y0") < 0.95)
+    high = (F.col("y0") + F.col("y1")) / 2 < FOOT
+    header = (F.col("role").isNull() | (F.col("role") == "VALUE")) & (F.col("n_near") <= 1) & short & high
     return t.select("doc_id", "token_id", F.when(header, "HEADER").otherwise(F.col("role")).alias("role"))
 
 
 def separated_pair_isolation(tokens: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges without the south ones that leave tokens of a split pair."""
-    pairs = tokens.filter("separated_pair").select("doc_id", F.col("token_id").alias("from_id"), F.lit("south").alias("relation"))
-    return edges.join(pairs, ["doc_id", "from_id", "relation"], "left_anti")
+    """Edges without the south ones that leave a label and the value to its right that were split from one text."""
+    split = tokens.filter("separated_pair").select("doc_id", "token_id", "role")
+    labels = split.filter("role = 'LABEL'").select("doc_id", F.col("token_id").alias("from_id"))
+    values = split.filter("role = 'VALUE'").select("doc_id", F.col("token_id").alias("to_id"))
+    pairs = edges.filter("relation = 'east'").join(labels, ["doc_id", "from_id"]).join(values, ["doc_id", "to_id"])
+    ends = pairs.select("doc_id", F.explode(F.array("from_id", "to_id")).alias("from_id"), F.lit("south").alias("relation")).distinct()
+    return edges.join(ends, ["doc_id", "from_id", "relation"], "left_anti")
 
 
 def label_single_value(edges: DataFrame, roles: DataFrame) -> DataFrame:
-    """Edges in which each label leads to one value, east before south; its other values' edges go."""
+    """Edges in which each label leads to one value, the first to the right, below, above or left; those to others go."""
     r = roles.select("doc_id", F.col("token_id").alias("id"), "role")
-    out = edges.join(r.select("doc_id", F.col("id").alias("from_id"), F.col("role").alias("a")), ["doc_id", "from_id"], "left")
-    out = out.join(r.select("doc_id", F.col("id").alias("to_id"), F.col("role").alias("b")), ["doc_id", "to_id"], "left")
-    pair = (F.col("a") == "LABEL") & (F.col("b") == "VALUE")
+    labels = r.filter("role = 'LABEL'").select("doc_id", F.col("id").alias("from_id"))
+    values = r.filter("role = 'VALUE'").select("doc_id", F.col("id").alias("to_id"))
     place = F.when(F.col("relation") == "east", 0).when(F.col("relation") == "south", 1).when(F.col("relation") == "north", 2).otherwise(3)
-    w = Window.partitionBy("doc_id", "from_id", pair).orderBy(place, "to_id")
-    out = out.withColumn("r", F.row_number().over(w)).filter(~F.coalesce(pair, F.lit(False)) | (F.col("r") == 1))
-    return out.select("doc_id", "from_id", "to_id", "relation")
+    around = graph.neighbours(edges).join(labels, ["doc_id", "from_id"]).join(values, ["doc_id", "to_id"])
+    first = around.groupBy("doc_id", "from_id").agg(F.min(F.struct(place.alias("p"), "to_id"))["to_id"].alias("kept"))
+    onward = edges.join(labels, ["doc_id", "from_id"]).join(values, ["doc_id", "to_id"]).join(first, ["doc_id", "from_id"])
+    gone = onward.filter("to_id <> kept").select("doc_id", "from_id", "to_id", "relation")
+    return edges.select("doc_id", "from_id", "to_id", "relation").join(gone, ["doc_id", "from_id", "to_id", "relation"], "left_anti")

@@ -10,7 +10,7 @@ def log(spark, n, found):
 
 def test_never_found_is_rejected(spark):
     known = learning.patterns(log(spark, 2, False))
-    assert learning.veto(log(spark, 1, True), known).first()["rejected"]
+    assert learning.vetoed(log(spark, 1, True), known).first()["rejected"]
 
 
 def test_rigidity_needs_many(spark):
@@ -18,16 +18,22 @@ def test_rigidity_needs_many(spark):
     assert learning.patterns(log(spark, 500, True)).first()["rigidity"] == 1.0
 
 
+def test_rigidity_of_one_part_and_of_none(spark):
+    bare = spark.createDataFrame([("t", "f", i, None, None, "VALUE" if i % 4 else "LABEL", None, "s", None, True) for i in range(500)], LOG)
+    assert learning.patterns(bare).first()["rigidity"] == 0.75
+    assert learning.patterns(bare.withColumn("role", bare.data_type)).first()["rigidity"] == 0.5
+
+
 def test_rigid_field_rejects_another_role(spark):
     known = learning.patterns(log(spark, 500, True))
     other = spark.createDataFrame([("t", "f", 1, 0.5, 0.5, "LABEL", "date", "s", 2, True)], LOG)
-    assert learning.veto(other, known).first()["rejected"]
-    assert not learning.veto(log(spark, 1, True), known).first()["rejected"]
+    assert learning.vetoed(other, known).first()["rejected"]
+    assert not learning.vetoed(log(spark, 1, True), known).first()["rejected"]
 
 
 def test_unknown_field_is_accepted(spark):
     known = learning.patterns(log(spark, 3, False)).filter("field_name = 'other'")
-    assert not learning.veto(log(spark, 1, True), known).first()["rejected"]
+    assert not learning.vetoed(log(spark, 1, True), known).first()["rejected"]
 
 
 def test_entry_has_rows(spark):
