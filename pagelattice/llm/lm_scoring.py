@@ -2,9 +2,14 @@
 
 A word's probability is the sum over all its segmentations into pieces of an
 existing vocabulary, by a forward recursion in log space. Pieces follow a
-unigram law: the vocabulary's own scores give a prior, and the training texts
-give expected counts under it, by one forward-backward pass over the distinct
-words. A text's probability is that of its words and one end.
+unigram law: the vocabulary's own scores are its prior, worth PRIOR_WEIGHT
+pieces (the merge vocabulary that is here has ranks and no probabilities; a
+piece of rank r then weighs 1/(1+r)), and the training texts add the counts that
+one forward-backward pass over their distinct words expects under the prior. A
+word of the training texts is an edge of its own from its begin to its end,
+with its share of all training tokens, so what the model knows grows with them;
+such edges have WORD_WEIGHT of the probability and the pieces have the rest. A
+text's probability is that of its words and one end.
 
 Words seen at least once in every N / FREQUENT training tokens are at most
 FREQUENT many; those go to every task. The other words of a text travel with
@@ -28,14 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import Workspace, split_batch
+from pagelattice.llm.common import Workspace, split_batch, text_parts, tidy
 from pagelattice.llm.pieces import SPACE, Pieces, load
 
 #: Bound of the words that every task gets.
 FREQUENT = 300_000
 #: Weight of the vocabulary's own scores, in pieces.
 PRIOR_WEIGHT = 1_000.0
+#: Share of whole training words, beside pieces, in the law of words.
+WORD_WEIGHT = 0.5
 GATHER = 60_000
+CHARS_AT_ONCE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = np.log(10.0)
 
@@ -79,8 +87,8 @@ class Lattice:
             if not len(part):
                 continue
             n = int(lengths[part[0]]) + 1
-            for at in range(0, len(part), max(1, 400_000 // n)):
-                some = part[at : at + max(1, 400_000 // n)]
+            for at in range(0, len(part), max(1, CHARS_AT_ONCE // n)):
+                some = part[at : at + max(1, CHARS_AT_ONCE // n)]
                 text = SPACE + SPACE.join(words[i] for i in some)
                 yield some, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
 
@@ -92,14 +100,14 @@ class Lattice:
         table = np.array([self.logp[self._bytes(c)].sum() for c in uniques.tolist()])
         return table[back.reshape(codes.shape)]
 
-    def _edges(self, codes: np.ndarray, spell: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, piece numbers or -1, log probabilities) for all spans, by end."""
+    def _edges(self, codes: np.ndarray, spell: np.ndarray, backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, piece numbers or -1, log probabilities) for all spans, by end, the first or the last end first."""
         n, width = codes.shape
         with np.errstate(over="ignore"):
             h = np.zeros((width + 1, n), np.uint64)
             for k in range(width):
                 h[k + 1] = h[k] * _BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
-            for end in range(1, width + 1):
+            for end in range(width, 0, -1) if backward else range(1, width + 1):
                 for length in range(1, min(end, self.longest) + 1):
                     if length not in self.tables and length > 1:
                         continue
@@ -130,15 +138,14 @@ class Lattice:
         total = np.zeros(self.n + 256)
         for some, codes in self._groups(words):
             spell = self._bytes_logp(codes)
-            edges = list(self._edges(codes, spell))
             alpha = np.full((codes.shape[1] + 1, len(some)), -np.inf)
             beta = alpha.copy()
             alpha[0], beta[-1] = 0, 0
-            for start, end, _, lp in edges:
+            for start, end, _, lp in self._edges(codes, spell):
                 alpha[end] = np.logaddexp(alpha[end], alpha[start] + lp)
-            for start, end, piece, lp in sorted(edges, key=lambda e: -e[0]):
+            # The edges again rather than kept: beta is whole at an end once all later ends are done.
+            for start, end, piece, lp in self._edges(codes, spell, backward=True):
                 beta[start] = np.logaddexp(beta[start], beta[end] + lp)
-            for start, end, piece, lp in edges:
                 weight = np.exp(alpha[start] + lp + beta[end] - alpha[-1]) * counts[some]
                 known = piece >= 0
                 total[: self.n] += np.bincount(piece[known], weight[known], self.n)
@@ -149,13 +156,17 @@ class Lattice:
 
 
 def _lower(column: pa.Array) -> pa.Array:
-    """A to Z in lower case, other letters as they are."""
-    lowered = [x.lower() for x in pc.fill_null(column.cast(pa.binary()), b"").to_pylist()]
-    return pa.array(lowered, pa.binary()).cast(pa.string())
+    """A to Z in lower case, other letters as they are; null as empty."""
+    raw = pc.fill_null(column.cast(pa.binary()), b"")
+    if not len(raw) or raw.buffers()[2] is None:
+        return raw.cast(pa.string())
+    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = bytes(memoryview(raw.buffers()[2])[at[0] : at[-1]]).lower()
+    return pa.StringArray.from_buffers(len(raw), pa.py_buffer((at - at[0]).astype(np.int32).tobytes()), pa.py_buffer(data))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in text_parts(whole, 0)):
         flat, _ = split_batch(_lower(b.column(0)))
         found = flat.value_counts()
         yield pa.record_batch([found.field(0), found.field(1).cast(pa.int64())], ["word", "n"])
@@ -174,8 +185,20 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: Pieces | None = None, text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def lm_scores(
+    docs: DataFrame,
+    folds: int = 5,
+    held: int = 1,
+    vocabulary: Pieces | None = None,
+    text: str = "text",
+    prior_weight: float = PRIOR_WEIGHT,
+    word_weight: float = WORD_WEIGHT,
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    An infinite prior_weight leaves the pieces their prior; a word_weight of 0
+    leaves whole words out.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     space = Workspace(spark, "lm")
@@ -188,7 +211,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: Pieces
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     train = rows.filter(~F.col("held_out"))
-    counted = train.select("text").mapInArrow(_word_counts, "word string, n bigint")
+    counted = train.select("text").mapInArrow(lambda batches: tidy(_word_counts(batches)), "word string, n bigint")
     vocab = space.keep(counted.groupBy("word").agg(F.sum("n").alias("c")), "vocab")
     sums = vocab.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n_train = train.count()
@@ -206,25 +229,35 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: Pieces
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
 
-    uses = vocab.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()  # a row a piece
+    uses = vocab.mapInArrow(lambda batches: tidy(expect(batches)), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()  # a row a piece
     total = np.zeros(len(start))
     total[uses["piece"].to_numpy()] = uses["uses"].to_numpy()
     total[-1] = n_train
-    weight = total + PRIOR_WEIGHT * np.exp(start)
+    weight = total / prior_weight + np.exp(start)
     logp = np.log(weight / weight.sum())
-    lattice = Lattice(texts, logp)
     model = sc.broadcast((texts, logp))
-
-    top = vocab.filter(F.col("c") >= max(1, -(-n_tokens // FREQUENT))).toArrow()  # at most FREQUENT rows
+    # Without training words the pieces have all of the probability.
+    whole = word_weight if n_tokens > n_train else 0.0
     base_of = lambda c: np.log10(c + 0.5) - base_total
-    top_words, top_c = top["word"].combine_chunks(), top["c"].to_numpy()
-    top_model = sc.broadcast((top_words, base_of(top_c), lattice.log_marginals(top_words.to_pylist()) / LOG10))
     end_base, end_score = float(base_of(n_train)), float(logp[-1] / LOG10)
 
+    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*model.value)
+        for t in _gathered(batches):
+            c = t["c"].to_numpy()
+            with np.errstate(divide="ignore"):
+                lp = np.logaddexp(lattice.log_marginals(t["word"].to_pylist()) + np.log(1 - whole), np.log(whole * c / max(1, n_tokens))) / LOG10
+            out = pa.table([t["word"], pa.array(c > 0), pa.array(base_of(c)), pa.array(lp)], ["word", "known", "base", "score"])
+            yield from out.combine_chunks().to_batches()
+
+    scored_words = lambda df: df.mapInArrow(lambda batches: tidy(marginal(batches)), "word string, known boolean, base double, score double")
+    top = scored_words(vocab.filter(F.col("c") >= max(1, -(-n_tokens // FREQUENT)))).toArrow()  # at most FREQUENT rows
+    top_model = sc.broadcast((top["word"].combine_chunks(), top["base"].to_numpy(), top["score"].to_numpy()))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known_base, known_score = top_model.value
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (part for batch in batches for part in text_parts(batch, 2)):
             flat, counts = split_batch(_lower(b.column(2)))
             coded = flat.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
@@ -247,19 +280,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: Pieces
             row += len(counts)
 
     ddl = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, words array<string>, times array<int>"
-    scored = space.keep(rows.mapInArrow(score, ddl), "scored")
+    scored = space.keep(rows.mapInArrow(lambda batches: tidy(score(batches)), ddl), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
 
-    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*model.value)
-        for t in _gathered(batches):
-            lp = lattice.log_marginals(t["word"].to_pylist()) / LOG10
-            c = t["c"].to_numpy()
-            out = pa.table([t["word"], pa.array(c > 0), pa.array(np.log10(c + 0.5) - base_total), pa.array(lp)], ["word", "known", "base", "score"])
-            yield from out.combine_chunks().to_batches()
-
     types = rare.select("word").distinct().join(vocab, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"))
-    types = space.keep(types.mapInArrow(marginal, "word string, known boolean, base double, score double"), "types")
+    types = space.keep(scored_words(types), "types")
     part = rare.join(types, "word").groupBy("row").agg(
         F.sum(F.expr("if(known, n, 0)")).alias("rare_known"), F.sum(F.expr("n * base")).alias("rare_base"), F.sum(F.expr("n * score")).alias("rare_score")
     )
