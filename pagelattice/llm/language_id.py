@@ -8,8 +8,11 @@ that switches occur. Labels of a whole text come from forward-backward: each
 word has a probability for each language, and the text takes the language with
 the largest mean over its words that have letters.
 
-The classifier is fitted on a bounded sample of labelled rows (Sample); every
-word of every text is labelled with it.
+The classifier is fitted on a bounded sample of labelled rows (Sample): of each
+of the most frequent languages the rows whose ids and texts hash lowest, found
+by a hash limit from the languages' counts, so no task gathers a language. The
+sampled texts are used whole, and a text above the bound of characters is not
+sampled. Every word of every text is labelled.
 
 Defined cases: null text, and text without letters, is `und` with score 0; words
 without letters follow their neighbours and have no say; ties go to the first
@@ -25,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WORD_PATTERN, split_batch, text_parts
+from pagelattice.llm.common import WORD_PATTERN, split_batch, text_parts, tidy
 from pagelattice.llm.exchange import mix
 
 UNKNOWN = "und"
@@ -40,7 +43,8 @@ class Sample:
     """Bounds of what the classifier is fitted on."""
 
     texts_per_language: int = 400
-    words_per_text: int = 300
+    languages: int = 200
+    longest_text: int = 100_000
     sequences: int = 12_000
     words_per_sequence: int = 32
     rounds: int = 2
@@ -120,9 +124,7 @@ def fit(texts: list[str], langs: list[str], bounds: Sample = Sample()) -> Model:
     vocab: dict[str, int] = {}
     pools: list[list[np.ndarray]] = [[] for _ in names]
     for text, lang in zip(texts, langs, strict=True):
-        w = text.split()
-        at = int(rng.integers(0, max(1, len(w) - bounds.words_per_text + 1)))
-        ids = [vocab.setdefault(x, len(vocab)) for x in w[at : at + bounds.words_per_text]]
+        ids = [vocab.setdefault(x, len(vocab)) for x in split_batch(pa.array([text]))[0].to_pylist()]
         if ids:
             pools[names.index(lang)].append(np.array(ids))
     ready = [k for k in range(K) if pools[k]]
@@ -230,9 +232,6 @@ def label(model: Model, emissions: np.ndarray, codes: np.ndarray, counts: np.nda
     return out
 
 
-BYTES_AT_ONCE = 4_000_000
-
-
 def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text, which words have letters, and the words' label probabilities."""
     flat, counts = split_batch(column)
@@ -243,19 +242,29 @@ def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return counts, own, label(model, emissions, codes, counts)
 
 
-def labelled_sample(docs: DataFrame, bounds: Sample, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The same texts for every run: by language, those whose ids hash lowest."""
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(WORD_PATTERN))
-    rows = rows.select(F.xxhash64("doc_id", text).alias("h"), "doc_id", F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    picked = rows.select("h", "doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= bounds.texts_per_language)
-    picked = picked.select("h").distinct()
-    return rows.join(F.broadcast(picked), "h").select("lang", "h", "text").distinct()
+#: Times as many rows as asked for are expected below a language's hash limit.
+SURPLUS = 1.5
+
+
+def labelled_sample(docs: DataFrame, bounds: Sample, text: str = "text", lang: str = "lang") -> list[tuple[str, int, str]]:
+    """(lang, hash, text) in order: of each language the texts that hash lowest, the same for every run."""
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), F.col(text).cast("string")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(WORD_PATTERN) & (F.length("text") <= bounds.longest_text))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages).collect()
+    if not counts:
+        return []
+    share = {r["lang"]: min(1.0, SURPLUS * bounds.texts_per_language / r["n"]) for r in counts}
+    limits = F.create_map(*[F.lit(x) for k, p in share.items() for x in (k, int(-(2**63) + p * (2**64 - 1)) if p < 1 else 2**63 - 1)])
+    found = rows.filter(F.col("h") <= F.element_at(limits, F.col("lang"))).distinct().collect()  # about SURPLUS times the sample
+    out: list[tuple[str, int, str]] = []
+    for name in sorted(share):
+        out += sorted((r["lang"], r["h"], r["text"]) for r in found if r["lang"] == name)[: bounds.texts_per_language]
+    return out
 
 
 def train(docs: DataFrame, bounds: Sample = Sample(), text: str = "text", lang: str = "lang") -> Model:
-    rows = sorted(labelled_sample(docs, bounds, text, lang).collect(), key=lambda r: (r["lang"], r["h"], r["text"]))  # bounded by Sample
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], bounds)
+    rows = labelled_sample(docs, bounds, text, lang)
+    return fit([r[2] for r in rows], [r[0] for r in rows], bounds)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
@@ -266,7 +275,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in (part for whole in batches for part in text_parts(whole, 1, BYTES_AT_ONCE)):
+        for b in (part for whole in batches for part in text_parts(whole, 1)):
             langs, scores, marks = [], [], []
             for counts, lettered, prob in [label_batch(m, b.column(1))] if m.languages else []:
                 owner = np.repeat(np.arange(len(counts)), counts)
@@ -288,7 +297,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fal
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ddl = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<first: int, words: int, lang: string>>" * spans
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lambda batches: tidy(run(batches)), ddl)
 
 
 def held_out(folds: int = 3, held: int = 1):

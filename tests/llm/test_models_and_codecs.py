@@ -18,9 +18,10 @@ from pagelattice.llm import warc as W
 SMALL = L.Sample(texts_per_language=60, sequences=1500, rounds=1)
 
 
-def test_language_held_out_accuracy(spark):
+@pytest.mark.parametrize("bounds", [SMALL, L.Sample()])
+def test_language_held_out_accuracy(spark, bounds):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = L.language_id(docs, SMALL).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
+    out = L.language_id(docs, bounds).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
     assert out.filter("lang = lang_pred").count() >= 0.97 * out.count() > 0
 
 
@@ -35,6 +36,16 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert {r["lang_pred"] for r in L.language_id(unlabelled, SMALL).collect()} == {"und"}
 
 
+def test_sample_is_bounded_and_whole(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('t', id, ' a\u00a0b') as text", "if(id % 4 = 0, 'rare', 'often') as lang")
+    bounds = L.Sample(texts_per_language=50, languages=2, longest_text=8)
+    got = L.labelled_sample(docs.repartition(5), bounds)
+    assert got == L.labelled_sample(docs.repartition(2), bounds)
+    assert [sum(x[0] == k for x in got) for k in ("often", "rare")] == [50, 50] and all(len(x[2]) <= 8 for x in got)
+    assert {x[0] for x in L.labelled_sample(docs, L.Sample(languages=1))} == {"often"}
+    assert L.fit([x[2] for x in got], [x[0] for x in got], SMALL).languages == ["often", "rare"]
+
+
 def test_switched_text_gets_spans(spark):
     texts = ["the of and that was", "le les des une est"] * 30
     model = L.fit(texts, ["en", "fr"] * 30, SMALL)
@@ -259,6 +270,14 @@ def test_archives_of_several_members_and_plain_ones(spark, tmp_path):
         W.archive_bytes(gzip.compress(records[0]) + gzip.compress(records[1])[:-4])
 
 
+def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, "u", ("x" * 200 if i % 2 else f"{i % 7}" * 150) if i % 5 else "") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    want = sorted(map(str, W.archive_round_trip(pages).collect()))
+    monkeypatch.setattr(W, "BROADCAST_DIGESTS", 3)
+    assert sorted(map(str, W.archive_round_trip(pages).collect())) == want
+
+
 def test_lost_segments_are_noticed(spark):
     rows = [("response", "r1", None, 1, None, 1, "d", None, b"ab"), ("continuation", "r3", "r1", 3, 6, None, None, None, b"ef")]
     with pytest.raises(Exception, match="segments missing"):
