@@ -136,6 +136,29 @@ def test_substrings_against_brute_force(odd_docs):
     assert got == want
 
 
+def test_rows_without_an_id_keep_their_own_places(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    same, other = [" ".join(word() for _ in range(20)) for _ in range(2)]
+    rows = [(1, same), (1, f"{other} {word()}"), (2, f"{word()} {other}")]
+    rows += [(None, f"{word()} {same if k % 2 else word()} {' '.join(word() for _ in range(k))}") for k in range(30)]
+    got = sorted((float("inf") if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in D.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect())
+    assert got == brute_removed(rows) and sum(x[2] for x in got) == 16 * 20
+
+
+def test_common_fingerprints_get_their_group(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(i, texts[0] if i % 3 else texts[i % 6]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for common in (10_000, 2):
+        monkeypatch.setattr(S, "COMMON", common)
+        least = {}
+        for i, t in rows:
+            least[t] = min(i, least.get(t, i))
+        assert {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df).collect()} == {i: least[t] for i, t in rows}
+
+
 def test_matches_at_every_alignment(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(10**9)}"
