@@ -5,8 +5,8 @@ and a projection: no shuffle, no Python, nothing kept between rows.
 
 Defined cases: a null text counts as empty and fails the base rule; texts of
 any length are measured whole; repeated rows are judged alike; an empty table
-gives an empty result; columns other than the text pass through untouched, and
-those named like a measure are replaced by it.
+gives an empty result; the documents' own columns all pass through, those named
+like a measure or verdict as own_ and their name.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import let, words
+from pagelattice.llm.common import SPACE_PATTERN, ascii_lower, let, words
 
 # Frequent function words of English, German, French, Spanish.
 STOP_WORDS = (
@@ -51,6 +51,12 @@ RULES = (
 )
 
 
+#: Columns that the operator adds, and a passing one.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_exclamations", "n_repeat_words")
+RATIOS = ("mean_word_chars", "symbol_ratio", "stop_word_ratio", "exclamation_ratio", "dup_line_ratio")
+ROW = "quality_rules_row"
+MEASURES = (*COUNTS, *RATIOS, "base_failed", "failed_rules", "kept", ROW)
+
 #: Places of windows fit in so many low bits of a sort key beside a hash.
 PLACE_BITS = 24
 
@@ -60,7 +66,8 @@ def _repeat_words(w: str, windows: str) -> str:
 
     Keys of hash and place sort as plain longs; neighbours of one hash whose
     words are equal mark their places, and a fold over the sorted places adds
-    up what they cover. Texts of more windows than places sort structs instead.
+    up what they cover. Where windows of one hash differ, or there are more
+    windows than places, the windows sort by their words instead.
     """
 
     def covered(s: str, place: str, same: str) -> str:
@@ -82,40 +89,47 @@ def _repeat_words(w: str, windows: str) -> str:
         f"cast(s[{{0}}] & {low}L as int)",
         f"shiftright(s[{{0}}], {PLACE_BITS}) = shiftright(s[{{1}}], {PLACE_BITS})",
     )
-    pairs = covered(f"sort_array(transform({windows}, (h, i) -> struct(h as h, i as i)))", "s[{0}].i", "s[{0}].h = s[{1}].h")
-    return f"""case when size(array_distinct({windows})) = size({windows}) then 0L
-      when size({windows}) <= {low} then {packed} else {pairs} end"""
+    by_words = covered(f"sort_array(transform({windows}, (h, i) -> struct(slice(w, i + 1, {WINDOW}) as h, i as i)))", "s[{0}].i", "s[{0}].h = s[{1}].h")
+    one_hash = f"shiftright(s[k], {PLACE_BITS}) = shiftright(s[k + 1], {PLACE_BITS})"
+    differ = f"slice(w, cast(s[k] & {low}L as int) + 1, {WINDOW}) <> slice(w, cast(s[k + 1] & {low}L as int) + 1, {WINDOW})"
+    keys = f"sort_array(transform({windows}, (h, i) -> (h & {~low}L) | i))"
+    clash = let(w, "w", let(keys, "s", f"exists(sequence(0, size(s) - 2), k -> {one_hash} and {differ})"))
+    return f"""case when size({windows}) < 2 or size(array_distinct({windows})) = size({windows}) then 0L
+      when size({windows}) > {low} or {clash} then {by_words} else {packed} end"""
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts and ratios that rules refer to."""
-    clash = [c for c in docs.columns if c.startswith("_qr_")]
-    df = docs.drop(*clash).withColumn("_qr_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_qr_w", words(F.col(text)))
-    lines = F.filter(F.split("_qr_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"_qr_1": F.transform("_qr_w", lambda w: F.xxhash64(w)), "_qr_l": lines})
+    own = [F.col(f"`{c}`").alias(f"own_{c}" if c in MEASURES else c) for c in docs.columns]
+    p = "_qr_"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    df = docs.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(f"{p}t"), words(F.col(f"`{text}`")).alias(f"{p}w"))
+    lines = F.filter(F.split(f"{p}t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumns({f"{p}1": F.transform(f"{p}w", lambda w: F.xxhash64(w)), f"{p}l": lines})
     for n in (1, 2, 4):  # hashes of twice as many words; those that the end cuts are left off below
-        df = df.withColumn(f"_qr_{2 * n}", F.expr(let(f"_qr_{n}", "a", f"transform(a, (h, i) -> xxhash64(h, get(a, i + {n})))")))
-    df = df.withColumn("_qr_h", F.expr(f"slice(_qr_{WINDOW}, 1, greatest(size(_qr_w) - {WINDOW - 1}, 0))"))
+        df = df.withColumn(f"{p}{2 * n}", F.expr(let(f"{p}{n}", "a", f"transform(a, (h, i) -> xxhash64(h, get(a, i + {n})))")))
+    df = df.withColumn(f"{p}h", F.expr(f"slice({p}{WINDOW}, 1, greatest(size({p}w) - {WINDOW - 1}, 0))"))
     stop = sorted(set(STOP_WORDS.split()))
-    length = F.length("_qr_t")
+    length = F.length(f"{p}t")
 
     def without(characters: str) -> Column:
-        left = F.col("_qr_t")
+        left = F.col(f"{p}t")
         for c in characters:
             left = F.replace(left, F.lit(c), F.lit(""))
         return left
 
     df = df.withColumns(
         {
-            "n_words": F.size("_qr_w").cast("bigint"),
+            "n_words": F.size(f"{p}w").cast("bigint"),
             "word_chars": F.length(without(" \t\n\x0b\x0c\r")).cast("bigint"),
             "n_symbols": (length - F.length(without(SYMBOLS))).cast("bigint"),
-            "n_lines": F.size("_qr_l").cast("bigint"),
-            "n_dup_lines": (F.size("_qr_l") - F.size(F.array_distinct("_qr_l"))).cast("bigint"),
-            "n_stop_words": F.size(F.filter("_qr_w", lambda w: w.isin(stop))).cast("bigint"),
+            "n_lines": F.size(f"{p}l").cast("bigint"),
+            "n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("bigint"),
+            "n_stop_words": F.size(F.filter(F.split(F.trim(ascii_lower(F.col(f"{p}t"))), SPACE_PATTERN), lambda w: w.isin(stop))).cast("bigint"),
             "n_exclamations": (length - F.length(without("!"))).cast("bigint"),
-            "n_repeat_words": F.expr(_repeat_words("_qr_w", "_qr_h")),
-            "_qr_n": F.monotonically_increasing_id(),
+            "n_repeat_words": F.expr(_repeat_words(f"{p}w", f"{p}h")),
+            ROW: F.monotonically_increasing_id(),
         }
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -127,7 +141,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "exclamation_ratio": per("n_exclamations", "n_words"),
             "dup_line_ratio": per("n_dup_lines", "n_lines"),
         }
-    ).drop(*[f"_qr_{x}" for x in ("t", "w", "h", "l", "1", "2", "4", "8")])
+    ).drop(*[f"{p}{x}" for x in ("t", "w", "h", "l", "1", "2", "4", "8")])
 
 
 def passes(rule: Rule) -> Column:
@@ -143,7 +157,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     failed = F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
     out = measured(docs, text).withColumns({"base_failed": base, "failed_rules": failed})
     # A row number keeps a filter on the verdict above the measures, which it would else compute again.
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("_qr_n") >= 0)).drop("_qr_n")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col(ROW) >= 0)).drop(ROW)
 
 
 def rejected_out(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
