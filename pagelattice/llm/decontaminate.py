@@ -4,14 +4,19 @@ A text's shingles are the distinct runs of SHINGLE words, A to Z lower-cased. An
 item of n shingles is contained in a document at threshold t if at least
 ceil(t n) of its shingles occur there, so of any n - ceil(t n) + 1 of them one
 must. An item's sketch is that many of its smallest shingle hashes (a bottom-k
-MinHash). Documents, however long, look up only those of their own hashes that
-are at most the largest hash of all sketches. Items are not partitioned by size:
-one short item with a high hash raises that limit for every document. No pair at
-the threshold is missed;
-the pairs that meet are then verified on the shingles themselves.
+MinHash).
+
+Items are partitioned by size, in powers of two. A partition's limit is the
+largest hash of its sketches, and its need the fewest shingles that contain one
+of its items. A document, however long, probes a partition only if it has as
+many places as the need, and only with those of its hashes that are within the
+limit; hashes meet sketches of the partition that they probe alone. No pair at
+the threshold is missed; the pairs that meet are then verified on the shingles
+themselves.
 
 All of it is built-in expressions. Items go to every task only if they have few
-shingles in all (checked); otherwise the look-up is a shuffled join on the hash.
+shingles in all (checked); otherwise the look-up is a shuffled join on partition
+and hash, salted by document, so that a hash of many documents has SALTS tasks.
 
 Defined cases: null texts and items have no shingles; a text of fewer than
 SHINGLE words has one, the whole of it, so such an item is found in equal texts
@@ -32,6 +37,7 @@ THRESHOLD = 0.8
 #: Shingles of all items, and documents with hits, up to which a side is broadcast.
 BROADCAST_SHINGLES = 500_000
 BROADCAST_ROWS = 1_000_000
+SALTS = 16
 
 
 def _worded(df: DataFrame, text: str) -> DataFrame:
@@ -78,15 +84,22 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     source = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), source.alias("text"))
     sketches = space.keep(item_sketches(items, threshold), "items")
-    limits = sketches.groupBy("size_class").agg(F.max(F.array_max("sketch")).alias("limit"), F.sum("n_item").alias("n"))
-    limits = limits.agg(F.max("limit").alias("limit"), F.sum("n").alias("n")).first()
-    few = (limits["n"] or 0) <= BROADCAST_SHINGLES
+    need = F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))
+    parts = sketches.groupBy("size_class").agg(F.max(F.array_max("sketch")).alias("limit"), F.min(need).alias("need"), F.sum("n_item").alias("n"))
+    parts = sorted((r["size_class"], r["limit"], r["need"], r["n"]) for r in parts.collect())  # a row for each power of two
+    few = sum(p[3] for p in parts) <= BROADCAST_SHINGLES
     side = lambda df: F.broadcast(df) if few else df
-    index = sketches.select(F.explode("sketch").alias("h"), "item", "version")
-    probes = _hashed(_worded(rows, "text")).select("did", F.expr(f"filter(_h, h -> h <= {limits['limit'] if limits['limit'] is not None else -(2**63) + 1}L)").alias("_h"))
+    index = sketches.select("size_class", F.explode("sketch").alias("h"), "item", "version")
+    probed = [f"transform(filter(_h, h -> size(_h) >= {need} and h <= {limit}L), h -> named_struct('size_class', {c}, 'h', h))" for c, limit, need, _ in parts]
+    probes = _hashed(_worded(rows, "text")).select("did", F.expr(f"array_distinct(concat({', '.join(probed) or 'cast(array() as array<struct<size_class: int, h: bigint>>)'}))").alias("_p"))
     # An inner explode would infer a filter on the hashes and push it, with their lambdas, below them.
-    probes = probes.select("did", F.explode_outer("_h").alias("h")).filter("h is not null")
-    met = probes.join(side(index), "h").select("did", "item", "version").distinct()
+    probes = probes.select("did", F.explode_outer("_p").alias("p")).filter("p is not null").select("did", "p.size_class", "p.h")
+    keys = ["size_class", "h"]
+    if not few:
+        keys.append("salt")
+        probes = probes.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(SALTS)))
+        index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    met = probes.join(side(index), keys).select("did", "item", "version").distinct()
     met = space.keep(met, "met")
     wanted = met.groupBy("did").agg(F.collect_set(F.struct("item", "version")).alias("found"))
     if met.count() <= BROADCAST_ROWS:
