@@ -66,7 +66,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelattice.llm import url_filter as uf
 
     rules = [uf.HostRule(*r) for r in uf.DEFAULT_RULES]
-    return uf.url_filter(table(spark, sf_dir, "pages"), rules, uf.default_list(spark)).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return uf.url_filter(pages, rules, uf.default_list(pages)).drop("url")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

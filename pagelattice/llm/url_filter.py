@@ -17,16 +17,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import ascii_lower
+from pagelattice.llm.common import Workspace, ascii_lower
 
 #: Bits of filter for each listed key, and keys above which the filter itself is joined by shuffle.
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
 BROADCAST_BLOCKS = 2_000_000
 BROADCAST_KEYS = 1_000_000
+COMMON = 10_000
+#: Pages whose id is a multiple of this give the list's single URLs.
+FEED = 23
 
 # Default rules and listed keys of the production query.
 DEFAULT_RULES = (
@@ -36,7 +39,7 @@ DEFAULT_RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-DEFAULT_LIST = (
+DEFAULT_HOSTS = (
     "http://ads-track.example.com/",
     "http://free-bets.example.net/",
     "http://cheap-pills.example.net/",
@@ -173,13 +176,26 @@ def url_filter(pages: DataFrame, rules: list[HostRule], listed: DataFrame) -> Da
         .withColumns({"host": host_of(at), "path": path_of(at)})
         .withColumn("_fit", fits)
     )
-    open_urls = judged.filter(F.col("_fit").isNull() & (F.col("host") != "")).select("url", "host", "path").distinct()
-    hits = listed_urls(open_urls, listed).withColumn("_listed", F.lit(True))
+    space = Workspace(pages.sparkSession, "urls")
+    is_open = F.col("_fit").isNull() & (F.col("host") != "")
+    open_urls = judged.filter(is_open).groupBy("url", "host", "path").agg(F.count("*").alias("n"))
+    open_urls = space.keep(open_urls, "open")
+    total = open_urls.agg(F.sum("n")).first()[0] or 0
+    hits = listed_urls(open_urls.select("url", "host", "path"), listed).withColumn("_listed", F.lit(True))
+    tested = space.keep(open_urls.join(hits, "url", "left").select("url", "n", F.coalesce("_listed", F.lit(False)).alias("_listed")), "tested")
+    # A URL of a COMMON-th of all pages or more is common; those are broadcast, so no task gets all pages of one URL.
+    common = F.col("n") * COMMON >= total
+    known = judged.join(F.broadcast(tested.filter(common).select("url", "_listed")), "url", "left")
+    asked = is_open & F.col("_listed").isNull()
+    rare = tested.filter(~common & F.col("_listed")).select("url", F.col("_listed").alias("_rare"))
+    rest = known.filter(asked).join(rare, "url", "left").withColumn("_listed", F.col("_rare")).drop("_rare")
+    known = known.filter(~asked).unionByName(rest)
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("_listed"), F.lit("block")), F.lit("allow"))
-    return judged.join(hits, "url", "left").select(
-        "page_id", "url", "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict")
-    )
+    return known.select("page_id", "url", "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def default_list(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(u) for u in DEFAULT_LIST])).alias("url"))
+def default_list(pages: DataFrame) -> DataFrame:
+    """The production list: DEFAULT_HOSTS, and as a feed of single URLs those of every FEED-th page."""
+    hosts = F.explode(F.array(*[F.lit(u) for u in DEFAULT_HOSTS]))
+    feed = pages.filter(F.col("page_id") % FEED == 0).select("url")
+    return pages.sparkSession.range(1).select(hosts.alias("url")).unionByName(feed)
