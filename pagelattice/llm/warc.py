@@ -16,7 +16,9 @@ taken off, the chunked framing decoded and the digest computed and compared.
 Defined cases: a null html is an empty payload; a null page id comes after all
 others and is written as an absent field; repeated rows of the smallest id are
 responses alike; an empty table writes no record and gives an empty result;
-other columns are ignored. A damaged record raises an error.
+other columns are ignored; white space in a URL is left out of the record's
+target, and a page without a URL has about:blank there. A damaged record raises
+an error.
 """
 
 from __future__ import annotations
@@ -123,19 +125,24 @@ def records_of(url: str | None, page_id: int | None, payload: bytes, digest: str
         at, number = end, number + 1
 
 
-def _planned(pages: DataFrame) -> DataFrame:
+def _planned(pages: DataFrame, space: Workspace) -> DataFrame:
     """page_id, url, html, digest, first (page that a payload's copies revisit) and revisit."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     long = F.octet_length("html") >= MIN_REVISIT_BYTES
     groups = base.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    groups = groups.filter("n > 1").select("digest", "first")
-    n_groups = groups.count()
-    side = F.broadcast(groups) if n_groups <= BROADCAST_DIGESTS else groups
-    return base.join(side, "digest", "left").withColumn(
-        "revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    )
+    groups = space.keep(groups.filter("n > 1").select("digest", "first", "n"), "copies")
+    sums = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("pages")).first()
+    # Payloads of a BROADCAST_DIGESTS-th of all copies or more are broadcast at any size, so no task gets all copies of one.
+    often = F.col("n") * BROADCAST_DIGESTS >= (sums["pages"] or 0)
+    many = sums["groups"] > BROADCAST_DIGESTS
+    hot, cold = (groups.filter(often), groups.filter(~often)) if many else (groups, None)
+    joined = base.join(F.broadcast(hot.select("digest", "first")), "digest", "left")
+    if cold is not None:
+        rest = joined.filter(F.col("first").isNull() & long).drop("first").join(cold.select("digest", "first"), "digest", "left")
+        joined = joined.filter(F.col("first").isNotNull() | ~long).unionByName(rest)
+    return joined.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
@@ -156,7 +163,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
                     out, size = [], 0
             yield pa.record_batch([pa.array(out, pa.string())], ["value"])
 
-    planned = _planned(pages).select("page_id", "url", F.expr("if(revisit, '', html)").alias("html"), "digest", "first", "revisit")
+    planned = _planned(pages, Workspace(pages.sparkSession, "warc-plan")).select("page_id", "url", F.expr("if(revisit, '', html)").alias("html"), "digest", "first", "revisit")
     lines = planned.mapInArrow(write, "value string")
     lines.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -270,9 +277,13 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
     responses, revisits = read_pages(spark, f"{space.path}/archives")
     responses = space.keep(responses, "responses")
     revisits = space.keep(revisits, "revisits")
-    wanted = revisits.select("payload_digest").distinct()
-    sizes = responses.join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    resolved = revisits.join(sizes, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"
-    )
-    return responses.unionByName(resolved)
+    wanted = revisits.groupBy("payload_digest").agg(F.count("*").alias("n"))
+    sizes = responses.join(wanted, "payload_digest").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("n").alias("n"))
+    sizes = space.keep(sizes, "sizes")
+    sums = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("pages")).first()
+    often = F.lit(sums["groups"] <= BROADCAST_DIGESTS) | (F.col("n") * BROADCAST_DIGESTS >= (sums["pages"] or 0))
+    resolved = revisits.join(F.broadcast(sizes.filter(often).drop("n")), "payload_digest", "left")
+    if sums["groups"] > BROADCAST_DIGESTS:
+        rest = resolved.filter("payload_bytes is null").drop("payload_bytes").join(sizes.drop("n"), "payload_digest", "left")
+        resolved = resolved.filter("payload_bytes is not null").unionByName(rest)
+    return responses.unionByName(resolved.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
