@@ -35,7 +35,7 @@ m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     coalesce(n_dup, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines,
     coalesce(covered.n, 0) as n_repeat_words,
-    len(list_filter(w, lambda x: x in ({stop}))) as n_stop_words,
+    len(list_filter(w, lambda x: translate(x, '{UPPER}', '{UPPER.lower()}') in ({stop}))) as n_stop_words,
     length(regexp_replace(t, '[^!]', '', 'g')) as n_exclamations
   from d left join lines using (doc_id) left join covered using (doc_id)),
 r as (select *, word_chars::double / greatest(n_words, 1) as mean_word_chars,
@@ -70,15 +70,20 @@ def _urls() -> str:
         for h, p, _ in sorted(uf.DEFAULT_RULES, key=lambda r: -len(r[0] + r[1]))
     )
     verdicts = "".join(f" when '{h}{p}' then '{v}'" for h, p, v in uf.DEFAULT_RULES)
-    listed = " or ".join(
-        f"host = '{x}' or host like '%.{x}'" for x in (u.split("://")[1].rstrip("/") for u in uf.DEFAULT_LIST)
-    )
+    hosts = ", ".join(f"'{u.split('://')[1]}'" for u in uf.DEFAULT_HOSTS)
+    key = rf"regexp_replace(regexp_replace(host, ':\d*$', ''), '\.+$', '') || case when path = '' then '/' else regexp_replace(path, '/{{2,}}', '/', 'g') end"
     return rf"""
 with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') as host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
-c as (select *, case{cases} end as rule from b)
-select page_id, host, path, rule, case rule{verdicts} else case when {listed} then 'block' else 'allow' end end as verdict from c"""
+c as materialized (select *, case{cases} end as rule, {key} as whole from b),
+d as (select whole, split_part(whole, '/', 1) as h, substr(whole, length(split_part(whole, '/', 1)) + 1) as p from (select distinct whole from c where rule is null and host <> '')),
+e as (select whole, string_split(h, '.') as hs, string_split(p, '/') as ps, p from d),
+f as (select whole, p, ps, array_to_string(hs[i:], '.') as h from (select *, unnest(range(1, len(hs) + 1)) as i from e)),
+g as (select whole, h || p as k from f union all select whole, h || array_to_string(ps[1:j], '/') || '/' from (select *, unnest(range(1, len(ps))) as j from f)),
+listed as (select distinct whole as k from c where page_id % {uf.FEED} = 0 and whole <> '/' and exists (select 1 from pages x where x.page_id = c.page_id and contains(x.url, '://')) union select unnest([{hosts}])),
+hit as (select distinct whole from g join listed using (k))
+select page_id, host, path, rule, case rule{verdicts} else case when host <> '' and hit.whole is not null then 'block' else 'allow' end end as verdict from c left join hit using (whole)"""
 
 
 def _contamination() -> str:
@@ -93,13 +98,24 @@ from p join n on n.id = p.item_id where n_shared >= n * {dc.THRESHOLD} - 1e-9"""
 
 
 def _chat() -> str:
-    return """
-with m as (select distinct conv_id, turn, role, text from conversations),
-r as (select *, turn // 64 as part, case when turn > 0 then (turn - 1)::varchar else '-' end as reply,
-  '<|' || role || '|>' || chr(10) || trim(text) || chr(10) || '<|end|>' as shown from m)
-select conv_id, part::bigint as part, count(*) as n_messages, 0::bigint as n_quoted, 0::bigint as n_linked,
-  string_agg(reply, ',' order by turn, role, text) as replies, string_agg(shown, chr(10) order by turn, role, text) as chat
-from r group by 1, 2"""
+    """Messages whose lines may be quoted; a message that quotes links only if SQL finds the passage as a whole line."""
+    lines = "[x for x in string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))]"
+    normal = rf"trim(regexp_replace(translate(regexp_replace({{}}, '^[ \t]*>[> \t]*', ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+    return rf"""
+with m as materialized (select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+l as (select *, unnest({lines}) as line from m),
+q as (select conv_id, turn, role, text, regexp_matches(line, '^[ \t]*>') as quoted, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g')) as level, {normal.format("line")} as norm from l),
+k as (select a.conv_id, a.turn, a.role, a.text, a.level, a.norm, max(b.turn) as origin from (select distinct * from q where quoted and norm <> '') a
+  join q b on b.conv_id is not distinct from a.conv_id and b.norm = a.norm and not b.quoted and b.turn < a.turn group by all),
+v as (select conv_id, turn, role, text, level, origin, count(*) as n, sum(length(norm)) as size from k group by all),
+w as (select conv_id, turn, role, text, sum(n) over p as n_linked, origin, row_number() over (partition by conv_id, turn, role, text order by level, size desc, n desc, origin desc) as r from v window p as (partition by conv_id, turn, role, text)),
+n as (select conv_id, turn, role, text, count(*) filter (where quoted) as n_quoted from q group by all),
+b as (select *, lag(turn) over (partition by conv_id order by turn) as before from (select distinct conv_id, turn from m)),
+r as (select n.*, coalesce(w.n_linked, 0) as n_linked, coalesce(w.origin, b.before) as reply, '<|' || n.role || '|>' || chr(10)
+    || regexp_replace(trim(array_to_string([x for x in {lines.replace("text", "n.text")} if not regexp_matches(x, '^[ \t]*>')], chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '\n{{3,}}', chr(10) || chr(10), 'g') || chr(10) || '<|end|>' as shown
+  from n left join w on w.conv_id is not distinct from n.conv_id and w.turn = n.turn and w.role = n.role and w.text = n.text and w.r = 1 left join b on b.conv_id is not distinct from n.conv_id and b.turn = n.turn)
+select conv_id, 0::bigint as part, count(*) as n_messages, sum(n_quoted)::bigint as n_quoted, sum(n_linked)::bigint as n_linked,
+  string_agg(coalesce(reply::varchar, '-'), ',' order by turn, role, text) as replies, string_agg(shown, chr(10) order by turn, role, text) as chat from r group by 1"""
 
 
 def _warc() -> str:

@@ -33,6 +33,25 @@ def test_rejected_rows_go_and_columns_stay(odd_docs, no_docs):
     assert Q.rejected_out(no_docs).count() == 0
 
 
+def test_windows_whose_hashes_meet(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(Q, "PLACE_BITS", 60)  # leaves four bits of the hash
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(8, 60)))) for i in range(60)]
+    for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        w = r["text"].split()
+        wins = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        assert r["n_repeat_words"] == len({i + k for i in range(len(w) - 7) if wins[tuple(w[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([(1, "the a of", "x", 5, 0.5)], "doc_id bigint, text string, _qr_t string, n_words int, kept double")
+    got = Q.quality_rules(df).first().asDict()
+    assert got["_qr_t"] == "x" and got["own_n_words"] == 5 and got["own_kept"] == 0.5 and got["n_words"] == 3 and got["kept"] is False
+    assert Q.quality_rules(spark.createDataFrame([(1, "The OF cat")], "doc_id bigint, text string")).first()["n_stop_words"] == 2
+
+
 def test_no_python_in_the_rules(odd_docs):
     plan = Q.quality_rules(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("RoundRobin", "").split("Project")[0]
@@ -62,6 +81,14 @@ def test_containment_against_brute_force(spark, odd_docs):
     assert clean.count() == odd_docs.count() - len({x[0] for x in want}) - 1  # the repeated row goes too
 
 
+def test_containment_by_shuffle(spark, odd_docs, monkeypatch):
+    long = next(t for t in (r["text"] for r in odd_docs.collect()) if t and len(t.split()) > 5000).split()
+    items = spark.createDataFrame([(1, " ".join(long[100:130])), (2, "The of"), (3, " ".join(long[:2000])), (4, " ".join(long[9:15]))], "item_id bigint, text string")
+    want = sorted(map(str, B.contamination(odd_docs, items).collect()))
+    monkeypatch.setattr(B, "BROADCAST_SHINGLES", 0)
+    assert sorted(map(str, B.contamination(odd_docs, items).collect())) == want and len(want) >= 4
+
+
 def test_containment_of_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
@@ -102,6 +129,17 @@ def test_deep_listed_urls(spark):
     assert {r["url"]: r["verdict"] for r in got} == urls
 
 
+def test_common_urls_are_judged_like_others(spark, monkeypatch):
+    urls = ["http://a.io/x"] * 30 + ["http://b.io/y"] * 30 + [f"http://c.io/{i}" for i in range(20)] + [None] * 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
+    listed = spark.createDataFrame([("http://a.io/",), ("http://c.io/7",)], "url string")
+    want = Counter("block" if u and (u.startswith("http://a.io") or u == "http://c.io/7") else "allow" for u in urls)
+    for common in (10_000, 4):
+        monkeypatch.setattr(U, "COMMON", common)
+        got = U.url_filter(pages, [], listed).collect()
+        assert Counter(r["verdict"] for r in got) == want and len(got) == len(urls)
+
+
 def test_filter_has_no_false_negatives_and_few_positives(spark):
     keys = spark.range(20_000).selectExpr("concat('k', id) as key")
     bloom, blocks = U.build_filter(keys, 20_000)
@@ -125,3 +163,98 @@ def test_quotes_link_and_go(spark):
     chat = {r["conv_id"]: r for r in C.chat_format(df).collect()}
     assert chat[1]["replies"] == "-,0,1,2" and ">" not in chat[1]["chat"].replace("|>", "")
     assert C.chat_format(df.limit(0)).count() == 0
+
+
+def parse(text):
+    """(level, line) of a message, its runs and its lines, normalised."""
+    import re
+
+    lines = []
+    for x in text.replace("\r\n", "\n").split("\n"):
+        m = re.match(r"[ \t]*(>[> \t]*)", x)
+        lines.append((m[1].count(">"), x[m.end() :]) if m else (0, x))
+    found, last = set(), None
+    for level, x in lines:
+        if not x.strip(" "):
+            last = None
+        elif last and last[0] == level:
+            last[1].append(x)
+        else:
+            last = (level, [x])
+            found.add(id(last)) or runs_of.append(last)
+    out = {(level, x) for level, x in lines} | {(level, " ".join(xs)) for level, xs in runs_of}
+    runs_of.clear()
+    norm = lambda s: " ".join("".join(c.lower() if "A" <= c <= "Z" else c for c in s).split())
+    return {(level, norm(x)) for level, x in out if norm(x)}
+
+
+runs_of = []
+
+
+def brute_replies(rows):
+    """(conv, turn, role, text) to the turn answered and the number of linked passages."""
+    own = {r: parse(r[3]) for r in set(rows)}
+    out = {}
+    for r, said in own.items():
+        votes = {}
+        for level, p in said:
+            origins = [o[1] for o, theirs in own.items() if o[0] == r[0] and o[1] < r[1] and (0, p) in theirs]
+            if level and origins:
+                n, size = votes.get((level, max(origins)), (0, 0))
+                votes[level, max(origins)] = (n + 1, size + len(p))
+        best = min(((level, -size, -n, -origin) for (level, origin), (n, size) in votes.items()), default=None)
+        earlier = [o[1] for o in own if o[0] == r[0] and o[1] < r[1]]
+        out[r] = (-best[3] if best else max(earlier, default=None), sum(n for n, _ in votes.values()))
+    return out
+
+
+def test_nested_quotes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["How", "do I", "Sort", "use  sorted", "then", "thanks", ""]
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in sorted(rng.sample(range(60), rng.randint(1, 9))):
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                lines = []
+                for _ in range(rng.randint(1, 6)):
+                    if said and rng.random() < 0.6:
+                        quoted = rng.choice(said).split("\n")
+                        at = rng.randrange(len(quoted))
+                        lines += [rng.choice(["> ", ">", " > "]) + x for x in quoted[at : at + rng.randint(1, 3)]]
+                    lines.append(" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))))
+                text = "\n".join(lines)
+                said.append(text)
+                rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
+    rows += rows[:5]
+    want = brute_replies(rows)
+    got = C.chat_messages(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)).collect()
+    assert {(r["conv_id"], r["turn"], r["role"], r["text"]): (r["reply_to"], r["n_linked"]) for r in got} == want
+    assert len(got) == len(want) and sum(n > 0 for _, n in want.values()) > 40
+
+
+def test_the_message_before_and_long_conversations(spark, monkeypatch):
+    rows = [(1, t, "user", f"m{t}") for t in (0, 5, 9)] + [(2, t, "user", f"n{t}") for t in range(130)] + [(None, None, "user", f"x{k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    for block in (C.TURN_BLOCK, 4):
+        monkeypatch.setattr(C, "TURN_BLOCK", block)
+        got = {r["conv_id"]: r for r in C.chat_format(df).collect()}
+        assert got[1]["replies"] == "-,0,5" and got[2]["replies"] == ",".join(["-", *map(str, range(129))]) and len(got) == 3
+    parts = C.chat_format(df, part_bytes=500).filter("conv_id = 2").orderBy("part").collect()
+    assert len(parts) > 3 and sum(r["n_messages"] for r in parts) == 130 and ",".join(r["replies"] for r in parts) == got[2]["replies"]
+    assert sum(r["n_messages"] for r in C.chat_format(df, part_bytes=100).filter("conv_id is null").collect()) == 20
+
+
+def test_long_messages_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, 0, "user", "\n".join(f"line {i}" for i in range(n))), (1, 1, "user", "\n".join(f"> line {i}" for i in range(n)))], "conv_id bigint, turn bigint, role string, text string")
+        began = time.time()
+        assert C.chat_messages(df).filter("turn = 1").first()["n_linked"] == n + 1
+        return time.time() - began
+
+    took(10)
+    assert took(16_000) < 8 * took(4_000) + 2
