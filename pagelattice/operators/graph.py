@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelattice.storage import shared_dir
+from pagelattice.storage import removed_at_exit, shared_dir
 
 SAME_LINE = 0.005
 LINE_GROUPING = 0.01
@@ -33,6 +33,7 @@ def materialized(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

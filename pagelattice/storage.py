@@ -8,6 +8,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a table that was written for later plans of this application deleted when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a temporary folder if driver and tasks are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.storage import shared_dir
+from pagelattice.storage import removed_at_exit, shared_dir
 
 
 def stream_rates(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +29,7 @@ def stream_rates(spark: SparkSession, path: str) -> DataFrame:
 
     q = source.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    removed_at_exit(spark, at)
     counts = spark.read.parquet(f"{at}/counts")
     return counts.groupBy("label_type", "field_name").agg(F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("found_rate"))
 
