@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.storage import shared_dir
+from pagelattice.storage import removed_at_exit, shared_dir
 
 #: Space and the control characters tab to carriage return separate words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -64,6 +64,7 @@ class Workspace:
         """Writes df and reads it back: a lost executor then costs no recomputation."""
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
+        removed_at_exit(self.spark, self.path)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
