@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next stage's documents.
 All but the last return the columns of documents.
+
+Defined cases, in every stage: a null text counts as empty (and fails the
+quality rules); a null id is a document of its own beside all others; rows that
+repeat id and text are one document after near dedup; texts of any length are
+processed whole; an empty table stays empty; extra columns pass through to the
+last stage.
 """
 
 from __future__ import annotations
