@@ -8,15 +8,15 @@ MinHash).
 
 Items are partitioned by size, in powers of two. A partition's limit is the
 largest hash of its sketches, and its need the fewest shingles that contain one
-of its items. A document, however long, probes a partition only if it has as
-many places as the need, and only with those of its hashes that are within the
-limit; hashes meet sketches of the partition that they probe alone. No pair at
-the threshold is missed; the pairs that meet are then verified on the shingles
+of its items. A document, however long, probes the partitions whose need it has
+places for, with those of its hashes that are within the loosest limit of these
+(beyond a partition's own limit there is nothing of it to meet). No pair at the
+threshold is missed; the pairs that meet are then verified on the shingles
 themselves.
 
 All of it is built-in expressions. Items go to every task only if they have few
-shingles in all (checked); otherwise the look-up is a shuffled join on partition
-and hash, salted by document, so that a hash of many documents has SALTS tasks.
+shingles in all (checked); otherwise the look-up is a shuffled join on the hash,
+salted by document, so that a hash of many documents has SALTS tasks.
 
 Defined cases: null texts and items have no shingles; a text of fewer than
 SHINGLE words has one, the whole of it, so such an item is found in equal texts
@@ -89,12 +89,14 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     parts = sorted((r["size_class"], r["limit"], r["need"], r["n"]) for r in parts.collect())  # a row for each power of two
     few = sum(p[3] for p in parts) <= BROADCAST_SHINGLES
     side = lambda df: F.broadcast(df) if few else df
-    index = sketches.select("size_class", F.explode("sketch").alias("h"), "item", "version")
-    probed = [f"transform(filter(_h, h -> size(_h) >= {need} and h <= {limit}L), h -> named_struct('size_class', {c}, 'h', h))" for c, limit, need, _ in parts]
-    probes = _hashed(_worded(rows, "text")).select("did", F.expr(f"array_distinct(concat({', '.join(probed) or 'cast(array() as array<struct<size_class: int, h: bigint>>)'}))").alias("_p"))
+    index = sketches.select(F.explode("sketch").alias("h"), "item", "version")
+    # A document's own limit is the loosest of the partitions whose need it meets.
+    own = "greatest(null, null" + "".join(f", case when size(g) >= {need} then {limit}L end" for _, limit, need, _ in parts) + ")"
+    kept = let(own, "l", "filter(g, h -> h <= l)")
+    probes = _hashed(_worded(rows, "text")).select("did", F.expr(let("_h", "g", kept)).alias("_p"))
     # An inner explode would infer a filter on the hashes and push it, with their lambdas, below them.
-    probes = probes.select("did", F.explode_outer("_p").alias("p")).filter("p is not null").select("did", "p.size_class", "p.h")
-    keys = ["size_class", "h"]
+    probes = probes.select("did", F.explode_outer("_p").alias("h")).filter("h is not null")
+    keys = ["h"]
     if not few:
         keys.append("salt")
         probes = probes.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(SALTS)))
