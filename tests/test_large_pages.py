@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagelattice.operators import graph, page
+from pagelattice.operators import classify, graph, page
 from pagelattice.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,31 @@ def test_pages_of_one_layout_share_the_fold(monkeypatch):
     assert made == [b"a", b"b"]
     monkeypatch.setattr(page, "LAYOUT_BYTES", 0)
     assert layouts.of(b"c", lambda: (b"c", 1)) == b"c" and len(layouts.found) == 1
+
+
+def test_pages_of_one_layout_go_through_the_pass_once(spark):
+    """Texts that differ alone do not make a page be computed again; words of two label columns do."""
+    seen = []
+    rows = [(d, 2 * r + c, 2 * r + c, f"{t} {d}" if r else t, 0.1 + 0.3 * c, 0.1 + 0.04 * r, 0.25 + 0.3 * c, 0.12 + 0.04 * r) for d in range(60) for r in range(3) for c, t in enumerate(("Produto", "Sistema") if d % 2 else ("abc", "def"))]
+    b = page.Batch(page.page_rows(spark.createDataFrame(rows, DDL)).toArrow().combine_chunks().to_batches()[0])
+    m = b.matrix(classify._READ)
+    keys = {m[i:j].tobytes() for i, j in zip(b.starts, b.ends, strict=True)}
+    layouts = page.Layouts("tables")
+    for key in [m[i:j].tobytes() for i, j in zip(b.starts, b.ends, strict=True)]:
+        layouts.of(key, lambda: (seen.append(1), 1))
+    assert len(seen) == len(keys) < 5
+    got = {(r["doc_id"] % 2, r["token_id"], r["role"]) for r in classify.part(classify.pages(spark.createDataFrame(rows, DDL), rules=[]), "facts").collect()}
+    assert len(got) == 12 and {(1, 0, "LABEL"), (1, 1, "LABEL"), (0, 0, "LABEL"), (0, 1, "VALUE")} <= got
+
+
+def test_rules_of_others_see_whole_pages(spark):
+    """A rule that is not one of the known ones may read the texts, so its pages are not shared."""
+    from pagelattice.operators import role_rules
+
+    def by_text(p):
+        for t in p.tokens:
+            p.give(t.token_id, t.text, "own")
+
+    rows = [(d, 0, 0, f"t{d}", 0.1, 0.1, 0.2, 0.12) for d in range(9)]
+    got = classify.part(classify.pages(spark.createDataFrame(rows, DDL), [role_rules.Rule("by_text", 1, (), by_text)]), "facts").collect()
+    assert {r["role"] for r in got} == {f"t{d}" for d in range(9)}
