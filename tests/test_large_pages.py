@@ -79,3 +79,11 @@ def test_rules_of_others_see_whole_pages(spark):
     rows = [(d, 0, 0, f"t{d}", 0.1, 0.1, 0.2, 0.12) for d in range(9)]
     got = classify.part(classify.pages(spark.createDataFrame(rows, DDL), [role_rules.Rule("by_text", 1, (), by_text)]), "facts").collect()
     assert {r["role"] for r in got} == {f"t{d}" for d in range(9)}
+
+
+def test_an_expanded_query_finds_its_words_once(spark):
+    from pagelattice.functions import expansion
+
+    df = spark.createDataFrame([("data_x", "Data de vencimento do valor")], "name string, description string")
+    plan = df.select(expansion.expanded_query(F.col("name"), F.col("description")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1
