@@ -685,7 +685,7 @@ def n_counts(s, d):
 
 
 def _blocks(s, d):
-    return kv(s, d).withColumnRenamed("token_id", "block_id")
+    return A.kv_form(s, d, spread=True).withColumnRenamed("token_id", "block_id")
 
 
 def _labels(s, d):
